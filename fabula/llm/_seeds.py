@@ -64,6 +64,12 @@ class Zones:
         b = G.multilinear_at(self.unit, self.hi, shape.span_shifts, 64)
         return G.mix(a * np.uint64(3) + b * np.uint64(5) + (self.hi - self.lo).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
+    def release(self, shape: Shape) -> np.ndarray:
+        """The keys; the unit hashes (8 bytes a unit) go, for callers that hold many zones."""
+        keys = self.keys(shape)
+        self.unit = self.unit[:0].copy()
+        return keys
+
 
 def zones(buf: np.ndarray, off: np.ndarray, shape: Shape) -> Zones:
     spans = None

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fabula.llm.substring_dedup import substring_dedup
+from fabula.llm.suffix_dedup import suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,8 +46,13 @@ FROM kept k LEFT JOIN stay s ON k.doc_id = s.doc_id
 """
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix_dedup(_table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict:
-    return {"op1_substring_dedup": op1_substring_dedup}
+    return {"op1_substring_dedup": op1_substring_dedup, "op4_suffix_dedup": op4_suffix_dedup}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -150,7 +150,7 @@ def _remove(shape: S.Shape, keep_layout: bool, carried: int):
         verdict = np.concatenate([np.empty(0, _VERDICT), *[np.frombuffer(x, _VERDICT) for x in replies["body"].to_pylist()]])
         verdict = verdict[np.argsort(verdict["key"], kind="stable")]
         slices = list(S.each_slice(table, shape))
-        keys = [z.keys(shape) for *_, z in slices]
+        keys = [z.release(shape) for *_, z in slices]
         owners = [ids[a + z.doc] for a, _, _, _, z in slices]
         _, local_keys, local_least = S.distinct(np.concatenate([np.empty(0, G.U64), *keys]), np.concatenate([np.empty(0, np.int64), *owners]))
         n_words, n_removed, kept, spans = [], [], [], []
