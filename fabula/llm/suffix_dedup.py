@@ -155,11 +155,14 @@ def merge_runs(runs: list[list[bytes]], shared: list[list[int]]) -> tuple[list[i
 
 
 def _pack(*parts: np.ndarray | bytes) -> bytes:
+    """The parts as one body: its length, then length-prefixed parts under zstd."""
     raw = [p if isinstance(p, bytes) else p.tobytes() for p in parts]
-    return np.array([len(raw), *map(len, raw)], np.int64).tobytes() + b"".join(raw)
+    body = np.array([len(raw), *map(len, raw)], np.int64).tobytes() + b"".join(raw)
+    return len(body).to_bytes(8, "little") + pa.compress(body, codec="zstd", asbytes=True)
 
 
 def _unpack(body: bytes) -> list[bytes]:
+    body = pa.decompress(body[8:], int.from_bytes(body[:8], "little"), codec="zstd", asbytes=True)
     n = int.from_bytes(body[:8], "little")
     lens, at, out = np.frombuffer(body, np.int64, n, 8), 8 * (n + 1), []
     for x in lens:
