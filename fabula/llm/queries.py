@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fabula.llm.minhash import near_duplicates
 from fabula.llm.substring_dedup import substring_dedup
 from fabula.llm.suffix_dedup import suffix_dedup
 
@@ -51,9 +52,39 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"), shingle_words=3, similarity=(85, 100))
+
+
+_OP10_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[s:s + 2], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS s FROM words WHERE len(w) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), both_have AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n
+  FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT p.a, p.b FROM both_have p JOIN sizes x ON p.a = x.doc_id JOIN sizes y ON p.b = y.doc_id
+  WHERE 100 * p.n >= 85 * (x.n + y.n - p.n)
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION
+  SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), component AS (
+  SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a
+)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM documents d JOIN component c ON d.doc_id = c.doc_id LEFT JOIN sizes s ON d.doc_id = s.doc_id
+"""
+
+
 def queries() -> dict:
-    return {"op1_substring_dedup": op1_substring_dedup, "op4_suffix_dedup": op4_suffix_dedup}
+    return {"op1_substring_dedup": op1_substring_dedup, "op4_suffix_dedup": op4_suffix_dedup, "op10_minhash": op10_minhash}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": _OP1_SQL}
+    return {"op1_substring_dedup": _OP1_SQL, "op10_minhash": _OP10_SQL}
