@@ -249,7 +249,9 @@ def _outsiders(found: DataFrame, family: DataFrame, large: DataFrame, block_docs
     asked = asking.groupBy("family").agg(F.ceil(F.count("*") / block_docs).alias("ask_blocks"))
     nodes = nodes.join(asked, "family").withColumn("row_block", F.expr(f"pmod(xxhash64(id), ceil(size / {block_docs}))"))
     asking = asking.join(asked, "family").withColumn("ask_block", F.expr("pmod(xxhash64(id, 1), ask_blocks)"))
-    wide = F.lit(1 << 20)
-    askers = asking.select("family", (F.col("ask_block") * wide + F.explode(F.expr(f"sequence(0L, ceil(size / {block_docs}) - 1)"))).alias("block"), "id", F.lit(True).alias("asks"), "part")
-    rest = nodes.select("family", (F.explode(F.expr("sequence(0L, ask_blocks - 1)")) * wide + F.col("row_block")).alias("block"), "id", F.lit(False).alias("asks"), "part")
+    wide = 1 << 20
+    ask_each = F.explode(F.expr(f"transform(sequence(0L, ceil(size / {block_docs}) - 1), i -> ask_block * {wide} + i)"))
+    row_each = F.explode(F.expr(f"transform(sequence(0L, ask_blocks - 1), i -> i * {wide} + row_block)"))
+    askers = asking.select("family", ask_each.alias("block"), "id", F.lit(True).alias("asks"), "part")
+    rest = nodes.select("family", row_each.alias("block"), "id", F.lit(False).alias("asks"), "part")
     return askers.union(rest)
