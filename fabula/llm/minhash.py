@@ -105,7 +105,7 @@ def _sets(k: int):
         for batch in batches:
             buf, off = G.text_buffer(batch["text"])
             found = [s.tobytes() for a, b in G.slices(off, X.SLICE_BYTES) for s in shingle_sets(buf[off[a] : off[b]], off[a : b + 1] - off[a], k)]
-            yield pa.RecordBatch.from_arrays([batch["family"], batch["block"], batch["asks"], batch["part"], batch["id"], pa.array(found, pa.binary())], ["family", "block", "asks", "part", "id", "set"])
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(found, pa.binary())], ["id", "set"])
 
     return sets
 
@@ -214,10 +214,11 @@ def near_duplicates(
     any_large = len(large.take(1)) > 0
     if any_large:
         group = group.union(_centres(proposed, family, dealt))
-    found = X.checkpoint(_verified(docs, group, shingle_words, num, den))
+    sets = X.checkpoint(docs.join(family.select(F.col("node").alias("id")), "id", "left_semi").mapInArrow(_sets(shingle_words), "id long, set binary"))
+    found = X.checkpoint(_verified(sets, group, num, den))
     if any_large:
         late = _outsiders(found, family, large, block_docs)
-        found = found.union(_verified(docs, late, shingle_words, num, den))
+        found = found.union(_verified(sets, late, num, den))
     of_class = components(found).withColumnRenamed("component", "least")
     named = members.join(of_class, "node", "left").select("id", F.coalesce("least", "node").alias("component")).groupBy("id").agg(F.min("component").alias("component"))
     out = signed.select("id", "n").join(named, "id", "left")
@@ -225,9 +226,9 @@ def near_duplicates(
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
-def _verified(docs: DataFrame, group: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    sets = docs.join(group, "id").select("family", "block", "asks", "part", "id", "text").mapInArrow(_sets(k), "family long, block long, asks boolean, part long, id long, set binary")
-    return sets.groupBy("family", "block").applyInArrow(_links(num, den), "a long, b long")
+def _verified(sets: DataFrame, group: DataFrame, num: int, den: int) -> DataFrame:
+    dealt = sets.join(group, "id").select("family", "block", "asks", "part", "id", "set")
+    return dealt.groupBy("family", "block").applyInArrow(_links(num, den), "a long, b long")
 
 
 def _centres(proposed: DataFrame, family: DataFrame, dealt: DataFrame) -> DataFrame:
