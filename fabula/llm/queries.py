@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fabula.llm.decontaminate import contaminations
 from fabula.llm.minhash import near_duplicates
 from fabula.llm.substring_dedup import substring_dedup
 from fabula.llm.suffix_dedup import suffix_dedup
@@ -82,8 +83,17 @@ FROM documents d JOIN component c ON d.doc_id = c.doc_id LEFT JOIN sizes s ON d.
 """
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminations(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
-    return {"op1_substring_dedup": op1_substring_dedup, "op4_suffix_dedup": op4_suffix_dedup, "op10_minhash": op10_minhash}
+    return {
+        "op1_substring_dedup": op1_substring_dedup,
+        "op4_suffix_dedup": op4_suffix_dedup,
+        "op9_decontaminate": op9_decontaminate,
+        "op10_minhash": op10_minhash,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
