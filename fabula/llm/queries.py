@@ -7,10 +7,15 @@ from pyspark.sql import functions as F
 
 from fabula.llm.decontaminate import contaminations
 from fabula.llm.minhash import near_duplicates
+from fabula.llm.sentencepiece_wfst import encode
 from fabula.llm.substring_dedup import substring_dedup
 from fabula.llm.suffix_dedup import suffix_dedup
 
 
+#: Where the tokenizer's model file is; a parameter of the operator.
+TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -83,6 +88,10 @@ FROM documents d JOIN component c ON d.doc_id = c.doc_id LEFT JOIN sizes s ON d.
 """
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(_table(spark, sf_dir, "documents"), TOKENIZER, check=True)
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminations(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -91,6 +100,7 @@ def queries() -> dict:
     return {
         "op1_substring_dedup": op1_substring_dedup,
         "op4_suffix_dedup": op4_suffix_dedup,
+        "op7_sentencepiece": op7_sentencepiece,
         "op9_decontaminate": op9_decontaminate,
         "op10_minhash": op10_minhash,
     }
