@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fabula.llm.decontaminate import contaminations
+from fabula.llm.media import media_features, texts_to_media
 from fabula.llm.minhash import near_duplicates
 from fabula.llm.sentencepiece_wfst import encode
 from fabula.llm.substring_dedup import substring_dedup
 from fabula.llm.suffix_dedup import suffix_dedup
+from fabula.llm.url_filters import SOFT, STRICT, Rule, url_filter
 
 
 #: Where the tokenizer's model file is; a parameter of the operator.
@@ -53,6 +55,37 @@ FROM kept k LEFT JOIN stay s ON k.doc_id = s.doc_id
 """
 
 
+URL_RULES = [Rule("allow", "org", "/"), Rule("block", "example.org", "/es/"), Rule("block", "example.org", "/en/1"), Rule("allow", "com", "/fr/"), Rule("block", "com", "/de/")]
+
+
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(_table(spark, sf_dir, "pages"), rules=URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def _hits(terms: tuple[str, ...]) -> str:
+    return " + ".join(f"CAST(regexp_matches(low, '(^|[^a-z0-9]){t}($|[^a-z0-9])') AS INT)" for t in terms)
+
+
+_OP3_SQL = rf"""
+WITH rest AS (
+  SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), parts AS (
+  SELECT page_id, translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+         translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path
+  FROM (SELECT page_id, url, coalesce(rest, '') AS rest FROM rest)
+), rules(v, h, p) AS (
+  VALUES {", ".join(f"('{r.verdict}', '{r.host}', '{r.path}')" for r in URL_RULES)}
+), fitted AS (
+  SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS v
+  FROM parts JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id
+)
+SELECT s.page_id, s.host, s.path, f.rule,
+       coalesce(f.v, CASE WHEN {_hits(STRICT)} >= 1 OR {_hits(SOFT)} >= 2 THEN 'block' ELSE 'allow' END) AS verdict
+FROM parts s LEFT JOIN fitted f ON s.page_id = f.page_id
+"""
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = suffix_dedup(_table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -88,6 +121,11 @@ FROM documents d JOIN component c ON d.doc_id = c.doc_id LEFT JOIN sizes s ON d.
 """
 
 
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = media_features(texts_to_media(_table(spark, sf_dir, "documents")))
+    return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(_table(spark, sf_dir, "documents"), TOKENIZER, check=True)
 
@@ -99,7 +137,9 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_substring_dedup": op1_substring_dedup,
+        "op3_url_filters": op3_url_filters,
         "op4_suffix_dedup": op4_suffix_dedup,
+        "op6_media": op6_media,
         "op7_sentencepiece": op7_sentencepiece,
         "op9_decontaminate": op9_decontaminate,
         "op10_minhash": op10_minhash,
@@ -107,4 +147,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": _OP1_SQL, "op10_minhash": _OP10_SQL}
+    return {"op1_substring_dedup": _OP1_SQL, "op3_url_filters": _OP3_SQL, "op10_minhash": _OP10_SQL}
