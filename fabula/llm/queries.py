@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fabula.llm import quality
 from fabula.llm.decontaminate import contaminations
 from fabula.llm.media import media_features, texts_to_media
 from fabula.llm.minhash import near_duplicates
@@ -121,6 +122,13 @@ FROM documents d JOIN component c ON d.doc_id = c.doc_id LEFT JOIN sizes s ON d.
 """
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    model = quality.fit(documents, _table(spark, sf_dir, "labels").where(~quality.held_out()))
+    scored = quality.score(documents, model)
+    return scored.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = media_features(texts_to_media(_table(spark, sf_dir, "documents")))
     return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
@@ -139,6 +147,7 @@ def queries() -> dict:
         "op1_substring_dedup": op1_substring_dedup,
         "op3_url_filters": op3_url_filters,
         "op4_suffix_dedup": op4_suffix_dedup,
+        "op5_quality": op5_quality,
         "op6_media": op6_media,
         "op7_sentencepiece": op7_sentencepiece,
         "op9_decontaminate": op9_decontaminate,
