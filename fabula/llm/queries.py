@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fabula.llm import quality
+from fabula.llm import html_text, quality
 from fabula.llm.decontaminate import contaminations
 from fabula.llm.media import media_features, texts_to_media
 from fabula.llm.minhash import near_duplicates
@@ -138,6 +138,11 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(_table(spark, sf_dir, "documents"), TOKENIZER, check=True)
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return html_text.extract(pages, html_text.fit(pages))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminations(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -150,6 +155,7 @@ def queries() -> dict:
         "op5_quality": op5_quality,
         "op6_media": op6_media,
         "op7_sentencepiece": op7_sentencepiece,
+        "op8_html_text": op8_html_text,
         "op9_decontaminate": op9_decontaminate,
         "op10_minhash": op10_minhash,
     }
