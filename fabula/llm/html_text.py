@@ -33,6 +33,8 @@ LEAVE_NAMES = frozenset(
     "newsletter subscribe subscription sidebar menu nav navbar navigation breadcrumb breadcrumbs comment comments disqus reply replies respond discussion share sharing social "
     "related recommended recommendations footer header masthead pagination pager toolbar login signin signup search widget skip".split()
 )
+#: Main text seldom crosses these.
+BORDER = frozenset("article main body html frameset".split())
 _CLOSES_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 
 
@@ -89,7 +91,7 @@ class Weights:
         return self.tag.get(_tag(token), self.start(token[1]))
 
     def start(self, name: str) -> float:
-        return -0.5 if name in INLINE else self.other
+        return -0.5 if name in INLINE else -10.0 if name in BORDER else self.other
 
     def scores(self, page: list[tuple], outside: list[bool]) -> list[float]:
         return [self.of(t, o) for t, o in zip(page, outside, strict=True)]

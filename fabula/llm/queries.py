@@ -10,6 +10,7 @@ from fabula.llm.decontaminate import contaminations
 from fabula.llm.media import media_features, texts_to_media
 from fabula.llm.minhash import near_duplicates
 from fabula.llm.sentencepiece_wfst import encode
+from fabula.llm.sharding import kd_shards
 from fabula.llm.substring_dedup import substring_dedup
 from fabula.llm.suffix_dedup import suffix_dedup
 from fabula.llm.url_filters import SOFT, STRICT, Rule, url_filter
@@ -56,6 +57,11 @@ FROM kept k LEFT JOIN stay s ON k.doc_id = s.doc_id
 """
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = kd_shards(_table(spark, sf_dir, "documents"), shards=40)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
 URL_RULES = [Rule("allow", "org", "/"), Rule("block", "example.org", "/es/"), Rule("block", "example.org", "/en/1"), Rule("allow", "com", "/fr/"), Rule("block", "com", "/de/")]
 
 
@@ -150,6 +156,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_substring_dedup": op1_substring_dedup,
+        "op2_sharding": op2_sharding,
         "op3_url_filters": op3_url_filters,
         "op4_suffix_dedup": op4_suffix_dedup,
         "op5_quality": op5_quality,
