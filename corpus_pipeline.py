@@ -1,8 +1,79 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: quality, near duplicates, repeated passages, benchmark leaks, tokens.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns the documents it keeps, with the columns of
+documents; the last returns tokens.  `run` writes each stage's rows as Parquet in the folder that the
+cluster shares, so a lost executor never costs more than the stage that it worked on.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fabula.llm import quality
+from fabula.llm.decontaminate import decontaminate
+from fabula.llm.minhash import near_duplicates
+from fabula.llm.queries import TOKENIZER
+from fabula.llm.sentencepiece_wfst import encode
+from fabula.llm.substring_dedup import substring_dedup
+
+#: Documents that score less are rejected.
+LEAST_QUALITY = 0.5
+#: A run of so many words that an earlier document has is removed.
+REPEAT_WORDS = 50
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that look like label 0.  The classifier learns from the stage's own input and the labels table."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality.fit(docs, labels.where(~quality.held_out()))
+    return quality.score(docs, model, carry=docs.columns).where(F.col("score") >= LEAST_QUALITY).drop("score")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest id of each component of documents with 5-word shingle similarity 0.8 or more."""
+    later = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_later")).distinct()
+    return docs.join(later, F.col("doc_id") == F.col("_later"), "left_anti")
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes passages that an earlier document has; documents of which nothing is left go."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    cut = substring_dedup(docs, min_words=REPEAT_WORDS, carry=rest, keep_layout=True)
+    cut = cut.where("n_removed = 0 or n_removed < n_words").withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("text").cast("long"))
+    return cut.select(*docs.columns)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark item."""
+    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_tokens and token_ids."""
+    return encode(docs, TOKENIZER, carry=["doc_id", "lang", "source"])
+
+
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("MinHash near-dedup", drop_near_duplicates),
+    ("substring dedup", cut_repeats),
+    ("benchmark decontamination", drop_leaks),
+    ("SentencePiece encoding", tokens),
+]
+
+#: SQL cannot express the classifier and the tokenizer; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage over the whole documents table."""
+    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='pipeline-')}/pipeline-{uuid.uuid4().hex}"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for number, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{number}")
+        docs = spark.read.parquet(f"{folder}/{number}")
+    return docs
