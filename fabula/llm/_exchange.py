@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 #: Text bytes of a chunk, and the least worth a chunk of its own.
 CHUNK_BYTES = 8 << 20
 LEAST_CHUNK_BYTES = 256 << 10
+#: Bytes of an Arrow batch between Spark and Python; Spark's own bound lets four such buffers of 64 MB stand a task.
+BATCH_BYTES = 4 << 20
 #: Text bytes that the vectorised kernels take at once.
 SLICE_BYTES = 1 << 20
 MESSAGE = "dest int, src int, body binary"
@@ -31,6 +33,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def bounded_batches(df: DataFrame) -> None:
+    """Has the session cut Arrow batches by bytes, so that long texts don't make batches beyond an executor's memory."""
+    conf = df.sparkSession.conf
+    bound = conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)
+    if bound is not None and not (bound.rstrip("b").isdigit() and int(bound.rstrip("b")) <= BATCH_BYTES):
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def chunk_count(df: DataFrame, text_col: str, chunk_bytes: int = CHUNK_BYTES) -> int:
     total = df.agg(F.sum(F.octet_length(F.col(text_col)).cast("long"))).first()[0] or 0
     return max(1, -(-total // chunk_bytes), min(shuffle_partitions(df.sparkSession), -(-total // LEAST_CHUNK_BYTES)))
@@ -42,6 +52,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def in_chunks(df: DataFrame, id_col: str, text_col: str, n: int, carry: list[str] = ()) -> DataFrame:
     """Columns chunk, id, text and c0, c1, ... for the carried ones."""
+    bounded_batches(df)
     ident = F.col(f"`{id_col}`").cast("long")
     text = F.col(f"`{text_col}`").cast("string")
     chunk = F.pmod(F.xxhash64(ident, F.octet_length(text)), F.lit(n)).cast("int")

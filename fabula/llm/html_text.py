@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fabula.llm._exchange import bounded_batches
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -231,6 +233,7 @@ def extract(pages: DataFrame, weights: Weights, html_col: str = "html", *, carry
 
     A null or empty page, and one without words, has an empty text.  Unclosed elements end with their
     parents, an unfinished tag at the end of a page is left out, pages of any length are read whole."""
+    bounded_batches(pages)
     names = [f"c{i}" for i in range(len(carry))]
     rows = pages.select(*[F.col(f"`{c}`").alias(n) for n, c in zip(names, carry, strict=True)], F.col(f"`{html_col}`").cast("string").alias("html"))
     schema = ", ".join([*(f"{n} {pages.schema[c].dataType.simpleString()}" for n, c in zip(names, carry, strict=True)), "text string", "n_chars long"])

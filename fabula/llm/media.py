@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fabula.llm import _exchange as X
 from fabula.llm import _grams as G
 
 #: Payloads are filled with bytes 255 to a positive multiple of this.
@@ -283,6 +284,7 @@ def texts_to_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """id, n_bytes and media (the JPEG bytes) of each text's UTF-8, filled with 255 to a positive multiple of 576.
 
     A null text is empty.  A text of any length is stored whole, in several frames beyond 4.7 MB."""
+    X.bounded_batches(df)
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     return rows.mapInArrow(_written(["id"]), f"id {kind}, n_bytes long, media binary").withColumnRenamed("id", id_col)
@@ -320,6 +322,7 @@ def media_features(df: DataFrame, media_col: str = "media", *, carry: list[str]
     """Reads JPEG bytes: thumbnail bytes (payload) with digests, dimensions, gradient hashes of the thumbnails.
 
     Null media gives nulls; bytes that are no baseline JPEG give nulls and the reason in `error`."""
+    X.bounded_batches(df)
     names = [f"c{i}" for i in range(len(carry))]
     carried = ", ".join(f"{n} {df.schema[c].dataType.simpleString()}" for n, c in zip(names, carry, strict=True))
     rows = df.select(*[F.col(f"`{c}`").alias(n) for n, c in zip(names, carry, strict=True)], F.col(f"`{media_col}`").alias("media"))

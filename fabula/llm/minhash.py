@@ -196,6 +196,7 @@ def near_duplicates(
     nothing; a text of fewer words than a shingle is one shingle; rows with one id are one node; a
     null id has a null component, is linked with nothing and is kept.
     """
+    X.bounded_batches(df)
     num, den = similarity
     bands = bands_for(num / den, rows, miss)
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fabula.llm import _exchange as X
 from fabula.llm import _grams as G
 
 _PUNCTUATION = [c for c in range(0x21, 0x7F) if not chr(c).isalnum()]
@@ -140,10 +141,10 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     return fit_model(counts, np.array([x for x, _ in found.values()], np.int64), {c: n / total for c, n in shares.items()}, dims, neighbours)
 
 
-def _scored(model, columns: int):
+def _scored(model, text: str, columns: int):
     def scored(batches):
         for batch in batches:
-            buf, off = G.text_buffer(batch["text"])
+            buf, off = G.text_buffer(batch[text])
             scores = [model.value.score(term_counts(buf[off[a] : off[b]], off[a : b + 1] - off[a])) for a, b in G.slices(off, _SLICE)]
             score = pa.array(np.concatenate([np.empty(0), *scores]))
             yield pa.RecordBatch.from_arrays([*batch.columns[:columns], score], [*batch.schema.names[:columns], "score"])
@@ -153,11 +154,15 @@ def _scored(model, columns: int):
 
 def score(documents: DataFrame, model: Model, text_col: str = "text", *, carry: list[str] = ("doc_id",)) -> DataFrame:
     """The carried columns and score (0 to 1) of each document; a null or empty text gets the share of label 1."""
+    X.bounded_batches(documents)
     names = [f"c{i}" for i in range(len(carry))]
-    rows = documents.select(*[F.col(f"`{c}`").alias(n) for n, c in zip(names, carry, strict=True)], F.col(f"`{text_col}`").cast("string").alias("text"))
+    rows = documents.select(*[F.col(f"`{c}`").alias(n) for n, c in zip(names, carry, strict=True)])
+    text = names[list(carry).index(text_col)] if text_col in carry else "text"
+    if text == "text":  # else it is carried already
+        rows = documents.select(*[F.col(f"`{c}`").alias(n) for n, c in zip(names, carry, strict=True)], F.col(f"`{text_col}`").alias("text"))
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join(f"{n} {documents.schema[c].dataType.simpleString()}" for n, c in zip(names, carry, strict=True))
-    out = rows.mapInArrow(_scored(shared, len(names)), f"{schema}, score double" if schema else "score double")
+    schema = ", ".join([*(f"{n} {documents.schema[c].dataType.simpleString()}" for n, c in zip(names, carry, strict=True)), "score double"])
+    out = rows.mapInArrow(_scored(shared, text, len(names)), schema)
     return out.select(*[F.col(n).alias(c) for n, c in zip(names, carry, strict=True)], "score")
 
 

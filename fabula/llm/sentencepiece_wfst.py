@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fabula.llm import _exchange as X
 from fabula.llm import _grams as G
 
 SPACE = "▁"
@@ -300,6 +301,7 @@ def encode(df: DataFrame, model_path: str, text_col: str = "text", *, carry: lis
     Defined cases: a null or empty text has no tokens; a text of any length is encoded whole; U+2581
     in a text decodes to a space, as the format has it.
     """
+    X.bounded_batches(df)
     with open(model_path, "rb") as file:
         data = file.read()
     read_model(data)  # refuses on the driver what the workers can't do
