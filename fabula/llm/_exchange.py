@@ -8,6 +8,8 @@ its bucket once a chunk at most), and buckets answer chunks in the same way.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 
 import numpy as np
@@ -33,6 +35,21 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def tidy(batches):
+    """Passes batches on, and at the end of the task gives unused memory back, as workers live on between tasks."""
+    try:
+        yield from batches
+    finally:
+        release()
+
+
+def release() -> None:
+    """Returns what Arrow's and C's allocators hold unused to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def bounded_batches(df: DataFrame) -> None:
     """Has the session cut Arrow batches by bytes, so that long texts don't make batches beyond an executor's memory."""
     conf = df.sparkSession.conf
@@ -59,6 +76,25 @@ def in_chunks(df: DataFrame, id_col: str, text_col: str, n: int, carry: list[str
     return df.select(chunk.alias("chunk"), ident.alias("id"), text.alias("text"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)])
 
 
+def tidied(function):
+    """The function for one group, which gives unused memory back when it is done."""
+    if function.__code__.co_argcount == 3:
+
+        def of_two(key, left, right):
+            out = function(key, left, right)
+            release()
+            return out
+
+        return of_two
+
+    def of_one(key, table):
+        out = function(key, table)
+        release()
+        return out
+
+    return of_one
+
+
 def messages(dest: list[int], src: int, bodies: list[bytes]) -> pa.Table:
     return pa.table({"dest": pa.array(dest, pa.int32()), "src": pa.array([src] * len(dest), pa.int32()), "body": pa.array(bodies, pa.binary())})
 

@@ -141,7 +141,7 @@ def _announce(shape: Shape, buckets: int):
         body = body[order]
         return X.messages([k for k, _, _ in parts], key[0].as_py(), [body[a:b].tobytes() for _, a, b in parts])
 
-    return announce
+    return X.tidied(announce)
 
 
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:

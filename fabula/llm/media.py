@@ -277,7 +277,7 @@ def _written(columns: list[str]):
                     media.append(to_jpeg(payload))
                 yield pa.RecordBatch.from_arrays([*(batch[c].slice(a, b - a) for c in columns), pa.array(np.diff(off[a : b + 1])), pa.array(media, pa.binary())], [*columns, "n_bytes", "media"])
 
-    return written
+    return lambda batches: X.tidy(written(batches))
 
 
 def texts_to_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -315,7 +315,7 @@ def _features(columns: list[str]):
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in columns), *(pa.array(o, k) for o, k in zip(out, kinds, strict=True))], names)
 
-    return features
+    return lambda batches: X.tidy(features(batches))
 
 
 def media_features(df: DataFrame, media_col: str = "media", *, carry: list[str] = ("doc_id", "n_bytes")) -> DataFrame:

@@ -97,7 +97,7 @@ def _signed(k: int, rows: int, bands: int):
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * bands), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array(n), pa.array(digest[0]), pa.array(digest[1]), lists], ["id", "n", "d1", "d2", "keys"])
 
-    return signed
+    return lambda batches: X.tidy(signed(batches))
 
 
 def _sets(k: int):
@@ -107,7 +107,7 @@ def _sets(k: int):
             found = [s.tobytes() for a, b in G.slices(off, X.SLICE_BYTES) for s in shingle_sets(buf[off[a] : off[b]], off[a : b + 1] - off[a], k)]
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array(found, pa.binary())], ["id", "set"])
 
-    return sets
+    return lambda batches: X.tidy(sets(batches))
 
 
 class Postings:
@@ -172,7 +172,7 @@ def _links(num: int, den: int):
         pairs = np.array(out, np.int64).reshape(-1, 2)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    return links
+    return X.tidied(links)
 
 
 def near_duplicates(

@@ -149,7 +149,7 @@ def _scored(model, text: str, columns: int):
             score = pa.array(np.concatenate([np.empty(0), *scores]))
             yield pa.RecordBatch.from_arrays([*batch.columns[:columns], score], [*batch.schema.names[:columns], "score"])
 
-    return scored
+    return lambda batches: X.tidy(scored(batches))
 
 
 def score(documents: DataFrame, model: Model, text_col: str = "text", *, carry: list[str] = ("doc_id",)) -> DataFrame:

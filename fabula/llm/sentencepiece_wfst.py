@@ -20,6 +20,7 @@ are cached in a bounded cache of two generations.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from dataclasses import dataclass
 
@@ -148,6 +149,10 @@ class Transducer:
                 self.follows.clear()
         return out
 
+    def rest(self) -> None:
+        """Between tasks: keeps the compiled machine and the parts met first, which are the common ones."""
+        self.old, self.new = dict(itertools.islice(self.new.items(), CACHE_PARTS // 5)), _Cache(self)
+
     def decode(self, ids: list[int]) -> str:
         raw = b"".join(map(self.out.__getitem__, ids))
         if self.spec.dummy_prefix and raw[:1] == b" ":
@@ -290,8 +295,9 @@ def _encoded(model, check: bool, columns: list[str]):
                 values = pa.array(np.concatenate([np.empty(0, np.int32), *ids]))
                 out = [part[c] for c in columns] + [pa.array(np.diff(ends).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), values)]
                 yield pa.RecordBatch.from_arrays(out + [pa.array(same, pa.bool_())] * check, [*columns, "n_tokens", "token_ids", *["lossless"] * check])
+        machine.rest()
 
-    return encoded
+    return lambda batches: X.tidy(encoded(batches))
 
 
 def encode(df: DataFrame, model_path: str, text_col: str = "text", *, carry: list[str] = ("doc_id",), check: bool = False) -> DataFrame:

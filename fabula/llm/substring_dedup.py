@@ -101,7 +101,7 @@ def _extend(shape: S.Shape, buckets: int):
         bodies = [len(zone[a:b]).to_bytes(8, "little") + zone[a:b].tobytes() + window[G.expand(begin[a:b], zone["n"][a:b].astype(np.int64))].tobytes() for _, a, b in parts]
         return X.messages([k for k, _, _ in parts], key[0].as_py(), bodies)
 
-    return extend
+    return X.tidied(extend)
 
 
 def _judge(shape: S.Shape):
@@ -140,7 +140,7 @@ def _judge(shape: S.Shape):
         back = [(c, x.tobytes()) for c, x in back if len(x)]
         return X.messages([c for c, _ in back], key[0].as_py(), [x for _, x in back])
 
-    return judge
+    return X.tidied(judge)
 
 
 def _remove(shape: S.Shape, keep_layout: bool, carried: int):
@@ -184,7 +184,7 @@ def _remove(shape: S.Shape, keep_layout: bool, carried: int):
         }
         return pa.table(out | {f"c{i}": table[f"c{i}"] for i in range(carried)})
 
-    return remove
+    return X.tidied(remove)
 
 
 def _without(raw: bytes, begin: int, end: int, starts: np.ndarray, edge: np.ndarray) -> bytes:

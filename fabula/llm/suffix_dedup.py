@@ -205,7 +205,7 @@ def _sorted_runs(shape: S.Shape, buckets: int):
             bodies.append(_pack(zone[by_right], *right_run, np.array(by_left, np.uint32), *left_run))
         return X.messages([k for k, _, _ in parts], key[0].as_py(), bodies)
 
-    return sorted_runs
+    return X.tidied(sorted_runs)
 
 
 def _merge(shape: S.Shape):
@@ -232,7 +232,7 @@ def _merge(shape: S.Shape):
         back = [(c, x.tobytes()) for c, x in back if len(x)]
         return X.messages([c for c, _ in back], key[0].as_py(), [x for _, x in back])
 
-    return merge
+    return X.tidied(merge)
 
 
 def equal_windows(ids, least, most, right_order, right_shared, left_order, left_shared, span: int) -> np.ndarray:
@@ -281,4 +281,4 @@ def _remove(shape: S.Shape):
         longs = {k: pa.array(v, pa.int64()) for k, v in (("n_bytes", n_bytes), ("n_removed", n_removed), ("n_spans", n_spans))}
         return pa.table({"id": table["id"], **longs, "kept": pa.array(kept, pa.binary()), "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("len", pa.int64())])))})
 
-    return remove
+    return X.tidied(remove)
