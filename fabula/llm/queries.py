@@ -98,6 +98,34 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+_OP4_SQL = r"""
+WITH hexed AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), windows AS MATERIALIZED (
+  SELECT doc_id, s, array_slice(h, 2 * s + 1, 2 * s + 100) AS content
+  FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS s FROM hexed)
+), first AS (
+  SELECT content, min(doc_id) AS least FROM windows GROUP BY content
+), hit AS (
+  SELECT doc_id, s, coalesce(s > lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 50, true) AS new
+  FROM windows JOIN first USING (content) WHERE least < doc_id
+), spans AS (
+  SELECT doc_id, nth, min(s) AS a, max(s) + 50 AS b
+  FROM (SELECT doc_id, s, sum(CAST(new AS INT)) OVER (PARTITION BY doc_id ORDER BY s) AS nth FROM hit) GROUP BY doc_id, nth
+), pieces AS (
+  SELECT doc_id, a, b, array_slice(h, 2 * coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) + 1, 2 * a) AS before,
+         h FROM spans JOIN hexed USING (doc_id)
+), cut AS (
+  SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans,
+         string_agg(before, '' ORDER BY a) || array_slice(any_value(h), 2 * max(b) + 1, length(any_value(h))) AS kept
+  FROM pieces GROUP BY doc_id
+)
+SELECT x.doc_id, CAST(length(x.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(c.n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(c.n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(c.kept, x.h))) AS kept_sha256
+FROM hexed x LEFT JOIN cut c ON x.doc_id = c.doc_id
+"""
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle_words=3, similarity=(85, 100))
 
@@ -153,6 +181,39 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminations(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+_OP9_SQL = r"""
+WITH doc_words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}]+'), lambda w: w <> '') AS w FROM documents
+), item_words AS (
+  SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}]+'), lambda w: w <> '') AS w FROM benchmark
+), doc_shingles AS (
+  SELECT doc_id, len(w) - 4 AS size, s - 1 AS at, array_to_string(w[s:s + 4], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS s FROM doc_words)
+), item_counts AS (
+  SELECT item_id, n, g, count(*) AS c
+  FROM (SELECT item_id, len(w) - 4 AS n, array_to_string(w[s:s + 4], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS s FROM item_words))
+  GROUP BY item_id, n, g
+), pairs AS (
+  SELECT doc_id, item_id, n, size FROM (
+    SELECT d.doc_id, i.item_id, i.n, d.size, least(count(*), any_value(i.c)) AS common
+    FROM doc_shingles d JOIN item_counts i USING (g) GROUP BY d.doc_id, i.item_id, i.n, d.size, g)
+  GROUP BY doc_id, item_id, n, size HAVING sum(common) >= 0.8 * n
+), windows AS (
+  SELECT doc_id, item_id, n, size, unnest(range(0, greatest(size - n, 0) + 1)) AS start_word FROM pairs
+), shared AS (
+  SELECT w.doc_id, w.item_id, w.n, w.size, w.start_word, least(count(*), any_value(i.c)) AS common
+  FROM windows w JOIN doc_shingles d ON d.doc_id = w.doc_id AND d.at >= w.start_word AND d.at < w.start_word + w.n
+  JOIN item_counts i ON i.item_id = w.item_id AND i.g = d.g
+  GROUP BY w.doc_id, w.item_id, w.n, w.size, w.start_word, i.g
+), alike AS (
+  SELECT doc_id, item_id, start_word, sum(common) / (least(n, size) + n - sum(common)) AS similarity
+  FROM shared GROUP BY doc_id, item_id, n, size, start_word
+)
+SELECT doc_id, item_id, max(similarity) AS similarity, CAST(arg_min(start_word, (-similarity, start_word)) AS INT) AS start_word
+FROM alike WHERE similarity >= 0.8 GROUP BY doc_id, item_id
+"""
+
+
 def queries() -> dict:
     return {
         "op1_substring_dedup": op1_substring_dedup,
@@ -169,4 +230,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": _OP1_SQL, "op3_url_filters": _OP3_SQL, "op10_minhash": _OP10_SQL}
+    return {"op1_substring_dedup": _OP1_SQL, "op3_url_filters": _OP3_SQL, "op4_suffix_dedup": _OP4_SQL, "op9_decontaminate": _OP9_SQL, "op10_minhash": _OP10_SQL}
