@@ -293,7 +293,27 @@ def node_degree(spark, sf):
     return graph.degrees(graph.edges(stmts(spark, sf)))
 
 
-@query("largest_component", None)
+@query(
+    "largest_component",
+    f"""WITH RECURSIVE {_STMTS}, counted AS (
+  SELECT arg0 AS src, arg1 AS dst, verb, coalesce(neg, false) AS neg, count(*) AS value FROM stmts WHERE arg0 <> '' AND arg1 <> '' GROUP BY ALL
+), ranked AS (
+  SELECT src, dst, row_number() OVER (ORDER BY value DESC, src, dst, verb, neg) AS r FROM counted ORDER BY r LIMIT 100
+), links AS (
+  SELECT src AS a, dst AS b FROM ranked UNION SELECT dst, src FROM ranked
+), reach AS (
+  SELECT a AS node, a AS other FROM links UNION SELECT node, b FROM reach JOIN links ON other = a
+), comp AS (
+  SELECT node, min(other) AS c FROM reach GROUP BY node
+), sizes AS (
+  SELECT c, count(*) AS n FROM comp GROUP BY c
+), chosen AS (
+  SELECT c FROM ranked JOIN comp ON src = node JOIN sizes USING (c) ORDER BY n DESC, r LIMIT 1
+), ends AS (
+  SELECT src AS node FROM ranked UNION ALL SELECT dst FROM ranked
+)
+SELECT node AS id, CAST(count(*) AS INT) AS value FROM ends JOIN comp USING (node) JOIN chosen USING (c) GROUP BY node""",
+)
 def largest_component(spark, sf):
     g = graph.build_graph(stmts(spark, sf), 100)
     return spark.createDataFrame(list(g.nodes.items()), "id string, value int")
@@ -518,12 +538,12 @@ def predict_known_then_cluster(spark, sf):
 def hdbscan_labels(spark, sf):
     from fabula.operators import density
 
-    points = vectors(spark, sf).orderBy("vec_id").limit(density.MOST_POINTS).collect()
+    points = vectors(spark, sf).orderBy("vec_id").limit(density.MOST_POINTS + 1).collect()  # fit refuses the one too many
     fitted = density.fit(pd.DataFrame([r["vec"] for r in points]).to_numpy(), 10, 5)
     return spark.createDataFrame([(r["vec_id"], int(x)) for r, x in zip(points, fitted.labels, strict=True)], "vec_id long, cluster int")
 
 
-@query("conversation_statements", None)
+@query("conversation_statements", "WITH " + _STMTS.replace("FROM documents", "FROM (SELECT conv_id * 10000 + turn AS doc_id, text, 'en' AS lang FROM conversations)") + " SELECT doc_id, sent_id, arg0, verb, neg, CAST(NULL AS VARCHAR) AS mod, arg1, CAST(NULL AS VARCHAR) AS arg2 FROM stmts")
 def conversation_statements(spark, sf):
     turns = table(spark, sf, "conversations").select((F.col("conv_id") * 10000 + F.col("turn")).alias("doc_id"), "text", F.lit("en").alias("lang"))
     return statements.lexicon_statements(turns)
