@@ -8,9 +8,10 @@ shingle sets decides.
 Documents with equal sets are one class from the start.  A band's bucket proposes star links to its
 smallest member only, so proposals stay linear in the bucket; the components of the proposals are
 families.  A family's sets meet in one task, which searches its verified graph breadth first and so
-compares a member only with members not yet reached.  A family beyond `block_docs` is dealt into
-blocks that each hold its commonest centres too; members outside its largest component are then
-compared, in blocks, with all of the family.  So no link is lost to a cap, and no pairs are emitted.
+compares a member only with members not yet reached.  A family beyond `block_docs` documents or
+`block_shingles` shingles is dealt into blocks that each hold its commonest centres too; members
+outside its largest component are then compared, in blocks, with all of the family.  So no link is
+lost to a cap, and no pairs are emitted.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fabula.llm import _exchange as X
@@ -28,6 +29,8 @@ from fabula.llm.components import UnionFind, components
 
 #: Documents of a family that one task compares.
 BLOCK_DOCS = 1500
+#: Shingles of them (about 80 bytes each while they are compared).
+BLOCK_SHINGLES = 2_000_000
 #: Centres that each block of a larger family holds.
 CENTRES = 16
 
@@ -185,6 +188,7 @@ def near_duplicates(
     rows: int = 5,
     miss: float = 1e-8,
     block_docs: int = BLOCK_DOCS,
+    block_shingles: int = BLOCK_SHINGLES,
 ) -> DataFrame:
     """Returns id, n_shingles, component_id, kept for each row.
 
@@ -207,18 +211,20 @@ def near_duplicates(
     keys = filled.join(classes, ["d1", "d2", "n"]).where("id = node").select("node", F.explode("keys").alias("key")).distinct()
     buckets = keys.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("size")).where("size > 1").select("key", "centre")
     proposed = X.checkpoint(keys.join(buckets, "key").where("node <> centre").groupBy("node", "centre").agg(F.count("*").alias("votes")))
-    family = X.checkpoint(components(proposed.select(F.col("node").alias("a"), F.col("centre").alias("b"))).withColumnRenamed("component", "family"))
-    size = family.groupBy("family").agg(F.count("*").alias("size"))
-    dealt = family.join(size, "family").select("family", F.col("node").alias("id"), F.expr(f"pmod(xxhash64(node), ceil(size / {block_docs}))").alias("block"), F.expr(f"ceil(size / {block_docs})").alias("blocks"))
+    weight = filled.groupBy(F.col("id").alias("node")).agg(F.sum("n").alias("n"))
+    family = components(proposed.select(F.col("node").alias("a"), F.col("centre").alias("b"))).withColumnRenamed("component", "family")
+    family = X.checkpoint(family.join(weight, "node"))
+    size = family.groupBy("family").agg(_blocks(block_docs, block_shingles).alias("blocks"))
+    dealt = family.join(size, "family").select("family", F.col("node").alias("id"), F.expr("pmod(xxhash64(node), blocks)").alias("block"), "blocks")
     group = dealt.select("family", "block", "id", F.lit(False).alias("asks"), F.lit(0).cast("long").alias("part"))
-    large = size.where(F.col("size") > block_docs)
+    large = size.where("blocks > 1")
     any_large = len(large.take(1)) > 0
     if any_large:
         group = group.union(_centres(proposed, family, dealt))
     sets = X.checkpoint(docs.join(family.select(F.col("node").alias("id")), "id", "left_semi").mapInArrow(_sets(shingle_words), "id long, set binary"))
     found = X.checkpoint(_verified(sets, group, num, den))
     if any_large:
-        late = _outsiders(found, family, large, block_docs)
+        late = _outsiders(found, family, large, block_docs, block_shingles)
         found = found.union(_verified(sets, late, num, den))
     of_class = components(found).withColumnRenamed("component", "least")
     named = members.join(of_class, "node", "left").select("id", F.coalesce("least", "node").alias("component")).groupBy("id").agg(F.min("component").alias("component"))
@@ -227,6 +233,11 @@ def near_duplicates(
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
+def _blocks(block_docs: int, block_shingles: int) -> Column:
+    """Blocks of a group of documents, by their number and the shingles (n) that they have together."""
+    return F.greatest(F.ceil(F.count("*") / block_docs), F.ceil(F.sum("n") / block_shingles))
+
+
 def _verified(sets: DataFrame, group: DataFrame, num: int, den: int) -> DataFrame:
     dealt = sets.join(group, "id").select("family", "block", "asks", "part", "id", "set")
     return dealt.groupBy("family", "block").applyInArrow(_links(num, den), "a long, b long")
@@ -241,18 +252,18 @@ def _centres(proposed: DataFrame, family: DataFrame, dealt: DataFrame) -> DataFr
     return each.where("block <> own").select("family", "block", "id", F.lit(False).alias("asks"), F.lit(0).cast("long").alias("part"))
 
 
-def _outsiders(found: DataFrame, family: DataFrame, large: DataFrame, block_docs: int) -> DataFrame:
+def _outsiders(found: DataFrame, family: DataFrame, large: DataFrame, block_docs: int, block_shingles: int) -> DataFrame:
     """Of large families: the members outside the largest component, in blocks, each with every block of the family."""
-    nodes = family.join(large, "family").join(components(found), "node", "left").select("family", "size", F.col("node").alias("id"), F.coalesce("component", "node").alias("part"))
+    nodes = family.join(large, "family").join(components(found), "node", "left").select("family", "blocks", "n", F.col("node").alias("id"), F.coalesce("component", "node").alias("part"))
     nodes = X.checkpoint(nodes)
-    parts = nodes.groupBy("family", "part").agg(F.count("*").alias("n"))
-    main = parts.groupBy("family").agg(F.max(F.struct("n", "part")).alias("m")).select("family", F.col("m.part").alias("main"))
+    parts = nodes.groupBy("family", "part").agg(F.count("*").alias("docs"))
+    main = parts.groupBy("family").agg(F.max(F.struct("docs", "part")).alias("m")).select("family", F.col("m.part").alias("main"))
     asking = nodes.join(main, "family").where("part <> main")
-    asked = asking.groupBy("family").agg(F.ceil(F.count("*") / block_docs).alias("ask_blocks"))
-    nodes = nodes.join(asked, "family").withColumn("row_block", F.expr(f"pmod(xxhash64(id), ceil(size / {block_docs}))"))
+    asked = asking.groupBy("family").agg(_blocks(block_docs, block_shingles).alias("ask_blocks"))
+    nodes = nodes.join(asked, "family").withColumn("row_block", F.expr("pmod(xxhash64(id), blocks)"))
     asking = asking.join(asked, "family").withColumn("ask_block", F.expr("pmod(xxhash64(id, 1), ask_blocks)"))
     wide = 1 << 20
-    ask_each = F.explode(F.expr(f"transform(sequence(0L, ceil(size / {block_docs}) - 1), i -> ask_block * {wide} + i)"))
+    ask_each = F.explode(F.expr(f"transform(sequence(0L, blocks - 1), i -> ask_block * {wide} + i)"))
     row_each = F.explode(F.expr(f"transform(sequence(0L, ask_blocks - 1), i -> i * {wide} + row_block)"))
     askers = asking.select("family", ask_each.alias("block"), "id", F.lit(True).alias("asks"), "part")
     rest = nodes.select("family", row_each.alias("block"), "id", F.lit(False).alias("asks"), "part")

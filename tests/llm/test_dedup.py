@@ -110,9 +110,9 @@ def test_null_and_equal_ids(spark):
     assert len(near) == 4 and all(r["kept"] for r in near) and {r["component_id"] for r in near} == {None, 5}
 
 
-@pytest.mark.parametrize("block_docs", [1500, 4])
+@pytest.mark.parametrize(("block_docs", "block_shingles"), [(1500, 2_000_000), (4, 2_000_000), (1500, 300)])
 @pytest.mark.parametrize(("k", "num"), [(3, 85), (5, 80)])
-def test_near_duplicates(spark, block_docs, k, num):
+def test_near_duplicates(spark, block_docs, block_shingles, k, num):
     rows = corpus(1)
     sets = {}
     for i, t, *_ in rows:
@@ -130,7 +130,7 @@ def test_near_duplicates(spark, block_docs, k, num):
             if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
-    got = near_duplicates(spark.createDataFrame(rows, SCHEMA), shingle_words=k, similarity=(num, 100), block_docs=block_docs).collect()
+    got = near_duplicates(spark.createDataFrame(rows, SCHEMA), shingle_words=k, similarity=(num, 100), block_docs=block_docs, block_shingles=block_shingles).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got} == {i: (len(s), find(i), find(i) == i) for i, s in sets.items()}
 
 
