@@ -18,6 +18,8 @@ from fabula.llm import _exchange as X
 from fabula.llm import _grams as G
 
 _PLACE = np.uint64((1 << 24) - 1)
+#: A seed that more chunks than this have is hot.
+HOT_CHUNKS = 64
 
 
 @dataclass(frozen=True)
@@ -148,8 +150,15 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
 
 
-def _match(key, table):
-    """Tells each chunk which of its seeds another chunk, or a second document of its own, has as well."""
+def _match(hot_chunks: int):
+    def match(key, table):
+        return _matched(key, table, hot_chunks)
+
+    return match
+
+
+def _matched(key, table, hot_chunks: int):
+    """Tells each chunk which of its seeds another chunk, or a second document of its own, has as well; hot ones have the lowest bit set."""
     bodies = [np.frombuffer(x, dtype=G.U64) for x in table["body"].to_pylist()]
     if not bodies:
         return X.messages([], 0, [])
@@ -162,20 +171,32 @@ def _match(key, table):
     shared = (count > 1) | np.maximum.reduceat((h & np.uint64(1))[order], start).astype(bool)
     flag = np.empty(len(h), bool)
     flag[order] = np.repeat(shared, count)
+    marked = np.empty_like(seed)
+    marked[order] = seed[order] | np.repeat(count > hot_chunks, count).astype(np.uint64)
     at = np.r_[0, np.cumsum(lens)]
-    back = [(int(c), seed[a:b][flag[a:b]].tobytes()) for c, a, b in zip(table["src"].to_pylist(), at[:-1], at[1:], strict=True)]
+    back = [(int(c), marked[a:b][flag[a:b]].tobytes()) for c, a, b in zip(table["src"].to_pylist(), at[:-1], at[1:], strict=True)]
     back = [(c, x) for c, x in back if x]
     return X.messages([c for c, _ in back], key[0].as_py(), [x for _, x in back])
 
 
-def shared_seeds(chunks: DataFrame, shape: Shape, buckets: int) -> DataFrame:
-    """Messages to the chunks: the seeds of theirs that a second document has."""
-    return chunks.groupBy("chunk").applyInArrow(_announce(shape, buckets), X.MESSAGE).groupBy("dest").applyInArrow(_match, X.MESSAGE)
+def shared_seeds(chunks: DataFrame, shape: Shape, buckets: int, hot_chunks: int = HOT_CHUNKS) -> DataFrame:
+    """Messages to the chunks: the seeds of theirs that a second document has, with a mark on hot ones."""
+    return chunks.groupBy("chunk").applyInArrow(_announce(shape, buckets), X.MESSAGE).groupBy("dest").applyInArrow(_match(hot_chunks), X.MESSAGE)
 
 
 def known(table: pa.Table) -> np.ndarray:
     """The seeds in messages from shared_seeds, sorted."""
-    return np.sort(np.concatenate([np.empty(0, G.U64), *[np.frombuffer(x, dtype=G.U64) for x in table["body"].to_pylist()]]))
+    return np.sort(_marked(table) & ~np.uint64(1))
+
+
+def hot(table: pa.Table) -> np.ndarray:
+    """Those of them that very many chunks have, sorted."""
+    found = _marked(table)
+    return np.sort(found[found & np.uint64(1) == 1] & ~np.uint64(1))
+
+
+def _marked(table: pa.Table) -> np.ndarray:
+    return np.concatenate([np.empty(0, G.U64), *[np.frombuffer(x, dtype=G.U64) for x in table["body"].to_pylist()]])
 
 
 def among(h: np.ndarray, seeds: np.ndarray) -> np.ndarray:

@@ -8,7 +8,8 @@ holds the anchor is compared, for each number of words left of it, by anchor and
 Cost at scale: the text is shuffled once (its exchange serves all three rounds).  Anchors are about
 a fifth of the words, sent as 8 bytes and distinct in a chunk; windows are sent only around shared
 anchors, distinct in a chunk.  No pairs of documents are made, so a group of a million copies costs
-what a million other documents cost.
+what a million other documents cost.  An anchor of very many chunks, such as a common phrase in
+ever other surroundings, is hot: its windows go to buckets one by one, by their own hash.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from fabula.llm import _seeds as S
 
 #: What a message about zones holds of each: seed hash, smallest id, number of windows.
 _ZONE = np.dtype([("seed", "<u8"), ("id", "<i8"), ("n", "<i4")])
+#: What it holds of each window about a hot seed: window, seed, key of the zone, smallest id, place in the zone.
+_SINGLE = np.dtype([("window", "<u8"), ("seed", "<u8"), ("key", "<u8"), ("id", "<i8"), ("nth", "u1")])
 _VERDICT = np.dtype([("key", "<u8"), ("bits", "<u8")])
 
 
@@ -43,6 +46,7 @@ def substring_dedup(
     carry: list[str] = (),
     keep_layout: bool = False,
     chunk_bytes: int = X.CHUNK_BYTES,
+    hot_chunks: int = S.HOT_CHUNKS,
 ) -> DataFrame:
     """Removes each word in a run of `min_words` words that also starts in a document with a smaller id.
 
@@ -58,7 +62,7 @@ def substring_dedup(
     shape = shape_for(min_words)
     n = X.chunk_count(df, text_col, chunk_bytes)
     chunks = X.in_chunks(df, id_col, text_col, n, list(carry))
-    shared = S.shared_seeds(chunks, shape, n)
+    shared = S.shared_seeds(chunks, shape, n, hot_chunks)
     asked = chunks.groupBy("chunk").cogroup(shared.groupBy("dest")).applyInArrow(_extend(shape, n), X.MESSAGE)
     verdicts = asked.groupBy("dest").applyInArrow(_judge(shape), X.MESSAGE)
     carried = [T.StructField(f"c{i}", df.schema[c].dataType) for i, c in enumerate(carry)]
@@ -81,7 +85,7 @@ def _extend(shape: S.Shape, buckets: int):
         """Sends, for each distinct zone about a shared seed, the hashes of all its windows."""
         if table.num_rows == 0:
             return X.messages([], 0, [])
-        seeds, ids = S.known(replies), X.ids_of(table)
+        seeds, hot, ids = S.known(replies), S.hot(replies), X.ids_of(table)
         keys, owners, found = [np.empty(0, G.U64)], [np.empty(0, np.int64)], []
         for a, _, _, _, z in S.each_slice(table, shape):
             z = z.take(S.among(z.hash, seeds))
@@ -89,66 +93,115 @@ def _extend(shape: S.Shape, buckets: int):
             owners.append(ids[a + z.doc])
             lens = z.hi - z.lo + 1
             found.append((z.hash, lens, G.multilinear_at(z.unit, G.expand(z.lo, lens), shape.span_shifts, 64)))
-        at, _, least = S.distinct(np.concatenate(keys), np.concatenate(owners))
+        at, zone_keys, least = S.distinct(np.concatenate(keys), np.concatenate(owners))
         if len(at) == 0:
             return X.messages([], 0, [])
         seed, lens, window = (np.concatenate(x) for x in zip(*found, strict=True))
         zone = np.empty(len(at), _ZONE)
         zone["seed"], zone["id"], zone["n"] = seed[at], least, lens[at]
         begin = (np.cumsum(lens) - lens)[at]
+        alone = S.among(zone["seed"], hot)
+        single, single_parts = _singles(zone[alone], zone_keys[alone], begin[alone], window, buckets)
+        zone, begin = zone[~alone], begin[~alone]
         order, parts = X.split_by(S._bucket(zone["seed"], buckets), buckets)
         zone, begin = zone[order], begin[order]
-        bodies = [len(zone[a:b]).to_bytes(8, "little") + zone[a:b].tobytes() + window[G.expand(begin[a:b], zone["n"][a:b].astype(np.int64))].tobytes() for _, a, b in parts]
-        return X.messages([k for k, _, _ in parts], key[0].as_py(), bodies)
+        whole, apart = ({k: (a, b) for k, a, b in p} for p in (parts, single_parts))
+        dest, bodies = sorted(whole.keys() | apart.keys()), []
+        for k in dest:
+            (a, b), (c, d) = whole.get(k, (0, 0)), apart.get(k, (0, 0))
+            windows = window[G.expand(begin[a:b], zone["n"][a:b].astype(np.int64))]
+            bodies.append(np.array([b - a, d - c], np.int64).tobytes() + zone[a:b].tobytes() + single[c:d].tobytes() + windows.tobytes())
+        return X.messages(dest, key[0].as_py(), bodies)
 
     return X.tidied(extend)
 
 
+def _singles(zone: np.ndarray, keys: np.ndarray, begin: np.ndarray, window: np.ndarray, buckets: int) -> tuple[np.ndarray, list]:
+    """The windows of the zones one by one, in order of their buckets, and the buckets' parts."""
+    lens = zone["n"].astype(np.int64)
+    places = G.expand(begin, lens)
+    out = np.empty(len(places), _SINGLE)
+    out["window"], out["nth"] = window[places], places - np.repeat(begin, lens)
+    out["seed"], out["key"], out["id"] = (np.repeat(x, lens) for x in (zone["seed"], keys, zone["id"]))
+    order, parts = X.split_by(S._bucket(out["window"], buckets), buckets)
+    return out[order], parts
+
+
+def _later(window: np.ndarray, seed: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """For each window about a seed whether one with a smaller owner is the same."""
+    gone = np.empty(len(window), bool)
+    if len(window) == 0:
+        return gone
+    order = np.argsort(window, kind="stable")
+    same = (window[order][1:] == window[order][:-1]) & (seed[order][1:] == seed[order][:-1])
+    if np.any((window[order][1:] == window[order][:-1]) & ~same):  # one hash of windows about different seeds
+        order = np.lexsort((seed, window))
+        same = (window[order][1:] == window[order][:-1]) & (seed[order][1:] == seed[order][:-1])
+    start = np.flatnonzero(np.r_[True, ~same])
+    least = np.minimum.reduceat(owner[order], start)
+    gone[order] = owner[order] > np.repeat(least, np.diff(np.r_[start, len(window)]))
+    return gone
+
+
 def _judge(shape: S.Shape):
     def judge(key, table):
-        """For each zone the windows that a smaller id has as well."""
-        zones, windows = [], []
+        """For each zone the windows that a smaller id has as well; for windows on their own, whether one has."""
+        zones, singles, windows = [], [], []
         for body in table["body"].to_pylist():
-            m = int.from_bytes(body[:8], "little")
-            zones.append(np.frombuffer(body, _ZONE, m, 8))
-            windows.append(np.frombuffer(body, G.U64, -1, 8 + m * _ZONE.itemsize))
+            m, k = np.frombuffer(body, np.int64, 2).tolist()
+            zones.append(np.frombuffer(body, _ZONE, m, 16))
+            singles.append(np.frombuffer(body, _SINGLE, k, 16 + m * _ZONE.itemsize))
+            windows.append(np.frombuffer(body, G.U64, -1, 16 + m * _ZONE.itemsize + k * _SINGLE.itemsize))
         if not zones:
             return X.messages([], 0, [])
-        per = np.array([len(z) for z in zones])
-        zone, window = np.concatenate(zones), np.concatenate(windows)
-        lens = zone["n"].astype(np.int64)
-        seed, owner = np.repeat(zone["seed"], lens), np.repeat(zone["id"], lens)
-        order = np.argsort(window, kind="stable")
-        same = (window[order][1:] == window[order][:-1]) & (seed[order][1:] == seed[order][:-1])
-        if np.any((window[order][1:] == window[order][:-1]) & ~same):  # one hash of windows about different seeds
-            order = np.lexsort((seed, window))
-            same = (window[order][1:] == window[order][:-1]) & (seed[order][1:] == seed[order][:-1])
-        start = np.flatnonzero(np.r_[True, ~same])
-        least = np.minimum.reduceat(owner[order], start)
-        gone = np.empty(len(window), bool)
-        gone[order] = owner[order] > np.repeat(least, np.diff(np.r_[start, len(window)]))
-        end = np.cumsum(lens)
-        begin = end - lens
-        nth = np.arange(len(window)) - np.repeat(begin, lens)
-        bits = np.bitwise_or.reduceat(gone.astype(np.uint64) << nth.astype(np.uint64), begin)
-        verdict = np.empty(len(zone), _VERDICT)
-        first, last = window[begin], window[end - 1]
-        verdict["key"] = G.mix(first * np.uint64(3) + last * np.uint64(5) + (lens - 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        verdict["bits"] = bits
-        cut = np.r_[0, np.cumsum(per)]
-        back = [(c, verdict[a:b][bits[a:b] != 0]) for c, a, b in zip(table["src"].to_pylist(), cut[:-1], cut[1:], strict=True)]
-        back = [(c, x.tobytes()) for c, x in back if len(x)]
+        zone, window = _verdicts(np.concatenate(zones), np.concatenate(windows)), np.concatenate(singles)
+        single = np.empty(len(window), _VERDICT)
+        single["key"] = window["key"]
+        single["bits"] = _later(window["window"], window["seed"], window["id"]).astype(np.uint64) << window["nth"].astype(np.uint64)
+        cuts = (np.r_[0, np.cumsum([len(x) for x in found])] for found in (zones, singles))
+        back = []
+        for c, a, b, d, e in zip(table["src"].to_pylist(), *(x for cut in cuts for x in (cut[:-1], cut[1:])), strict=True):
+            both = np.concatenate([zone[a:b], single[d:e]])
+            both = both[both["bits"] != 0]
+            if len(both):
+                back.append((c, both.tobytes()))
         return X.messages([c for c, _ in back], key[0].as_py(), [x for _, x in back])
 
     return X.tidied(judge)
 
 
+def _verdicts(zone: np.ndarray, window: np.ndarray) -> np.ndarray:
+    verdict = np.empty(len(zone), _VERDICT)
+    if len(zone) == 0:
+        return verdict
+    lens = zone["n"].astype(np.int64)
+    gone = _later(window, np.repeat(zone["seed"], lens), np.repeat(zone["id"], lens))
+    end = np.cumsum(lens)
+    begin = end - lens
+    nth = np.arange(len(window)) - np.repeat(begin, lens)
+    first, last = window[begin], window[end - 1]
+    verdict["key"] = G.mix(first * np.uint64(3) + last * np.uint64(5) + (lens - 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    verdict["bits"] = np.bitwise_or.reduceat(gone.astype(np.uint64) << nth.astype(np.uint64), begin)
+    return verdict
+
+
+def _one_each(verdict: np.ndarray) -> np.ndarray:
+    """The verdicts in order of their keys, those of one key joined."""
+    verdict = verdict[np.argsort(verdict["key"], kind="stable")]
+    if len(verdict) == 0:
+        return verdict
+    start = np.flatnonzero(np.r_[True, verdict["key"][1:] != verdict["key"][:-1]])
+    out = verdict[start]
+    out["bits"] = np.bitwise_or.reduceat(verdict["bits"], start)
+    return out
+
+
 def _remove(shape: S.Shape, keep_layout: bool, carried: int):
     def remove(key, table, replies):
         texts = table["text"].combine_chunks()
         ids = X.ids_of(table)
         verdict = np.concatenate([np.empty(0, _VERDICT), *[np.frombuffer(x, _VERDICT) for x in replies["body"].to_pylist()]])
-        verdict = verdict[np.argsort(verdict["key"], kind="stable")]
+        verdict = _one_each(verdict)
         slices = list(S.each_slice(table, shape))
         keys = [z.release(shape) for *_, z in slices]
         owners = [ids[a + z.doc] for a, _, _, _, z in slices]

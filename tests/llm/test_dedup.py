@@ -42,8 +42,8 @@ def words(text):
     return re.findall(r"[^\x20\x09-\x0D]+", text or "")
 
 
-@pytest.mark.parametrize("n", [13, 50])
-def test_substring_dedup(spark, n):
+@pytest.mark.parametrize(("n", "hot_chunks"), [(13, 64), (13, 1), (50, 64), (50, 1), (60, 2)])
+def test_substring_dedup(spark, n, hot_chunks):
     rows = corpus()
     first: dict = {}
     for i, t, *_ in sorted(rows):
@@ -58,7 +58,7 @@ def test_substring_dedup(spark, n):
             if first[tuple(w[s : s + n])] < i:
                 gone[s : s + n] = [True] * n
         want[i] = (len(w), sum(gone), " ".join(x for x, g in zip(w, gone, strict=True) if not g))
-    got = substring_dedup(spark.createDataFrame(rows, SCHEMA), min_words=n, chunk_bytes=4000, carry=["lang", "extra"]).collect()
+    got = substring_dedup(spark.createDataFrame(rows, SCHEMA), min_words=n, chunk_bytes=4000, hot_chunks=hot_chunks, carry=["lang", "extra"]).collect()
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in got} == want
     assert len(got) == len(rows) and all(r["extra"] == r["doc_id"] % 3 for r in got)
     assert all(sum(s["len"] for s in r["spans"]) == r["n_removed"] for r in got)
