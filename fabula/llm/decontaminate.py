@@ -1,9 +1,9 @@
 """Benchmark decontamination, with DataFrame functions only.
 
 A benchmark item of n word shingles is compared with item-sized windows (n consecutive shingles) of
-the documents.  Windows are placed where a document has a shingle of the item in line with the item's
-own place of it, since a window without a shared shingle has similarity 0; so nothing is lost by not
-looking elsewhere.  Each window gets a 64-bit SimHash of its shingles with their multiplicities.  A
+the documents.  A window is placed to end at every shingle that an item of its size has.  The earliest
+best window is among them: while its last shingle is none of the item's, the window one place earlier
+shares as much, up to the start of the document.  So parts of an item may stand in any order.  Each window gets a 64-bit SimHash of its shingles with their multiplicities.  A
 multi-index cuts fingerprints into radius + 1 blocks: two fingerprints within the radius have an
 equal block (pigeonhole), so the index returns all of them.  Candidates within the radius are then
 held to the exact weighted Jaccard similarity.
@@ -88,19 +88,16 @@ def contaminations(
     item = benchmark.select(F.col(f"`{item_col}`").alias("item"), words(F.col(f"`{item_text_col}`")).alias("w"))
     item = item.select("item", shingles(F.col("w"), shingle_words).alias("ih")).withColumn("n", F.size("ih"))
     # posexplode_outer: the plain form makes Spark filter on the array's size first, and compute it twice
-    seed = item.select("n", "ih", F.posexplode_outer("ih").alias("q", "h")).where("h is not null").select("h", "q", "n", F.expr("if(q > 0, ih[q - 1], null)").alias("before")).distinct()
+    seed = item.select("n", F.posexplode_outer("ih").alias("q", "h")).where("h is not null").select("h", "n").distinct()
     items = item.count()
     many = items > 0 and (seed.count() if items <= BROADCAST_SHINGLES else BROADCAST_SHINGLES + 1) > BROADCAST_SHINGLES
     small = (lambda d: d) if many else F.broadcast
 
     doc = documents.select(F.col(f"`{id_col}`").alias("doc"), words(F.col(f"`{text_col}`")).alias("w")).select("doc", shingles(F.col("w"), shingle_words).alias("hs"))
     placed = doc.select("doc", "hs", F.posexplode_outer("hs").alias("p", "h"))
-    # A run of shingles in line is one seed: its first.  Further starts allow for words put in or left out.
-    met = placed.join(small(seed), "h").where("q = 0 or p = 0 or hs[p - 1] <> before")
-    slack = (1 - similarity) / (1 + similarity)
-    reach = f"greatest(0, cast(floor({slack} * n) as int) - {shingle_words - 1})"
-    starts = f"transform(sequence(p - q - {reach}, p - q + {reach}), s -> greatest(0, least(s, size(hs) - n)))"
-    window = met.select("doc", "n", "hs", F.explode(F.expr(f"array_distinct({starts})")).alias("start")).select("doc", "n", "start", F.expr("slice(hs, start + 1, n)").alias("wh")).distinct()
+    # One window for each place and size; those that would begin before the document are its first.
+    met = placed.join(small(seed), "h").withColumn("start", F.expr("greatest(0, p - n + 1)"))
+    window = met.select("doc", "n", "start", F.expr("slice(hs, start + 1, n)").alias("wh"))
     window = window.withColumn("wf", simhash("wh"))
 
     blocks = radius + 1

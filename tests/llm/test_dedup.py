@@ -171,6 +171,19 @@ def test_contaminations(spark):
     assert {r["doc_id"] for r in decontaminate(df, bench).collect()} == {i for i, *_ in docs if i is None or i not in {a for a, _ in want}}
 
 
+@pytest.mark.parametrize(("n", "cut"), [(59, 8), (59, 20), (59, 29), (59, 50), (200, 100)])
+def test_contaminations_with_parts_swapped(spark, n, cut):
+    item = [f"i{j}" for j in range(n)]
+    text = [f"a{j}" for j in range(100)] + item[cut:] + item[:cut] + [f"b{j}" for j in range(100)]
+    own = {tuple(item[s : s + 5]) for s in range(n - 4)}
+    h = [tuple(text[s : s + 5]) for s in range(len(text) - 4)]
+    both = [len(own & {*h[s : s + len(own)]}) for s in range(len(h) - len(own) + 1)]
+    best = max(both)
+    df = spark.createDataFrame([(1, " ".join(text), "en", 0)], SCHEMA)
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    assert [tuple(r) for r in contaminations(df, bench).collect()] == [(1, 7, best / (2 * len(own) - best), both.index(best))]
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     bench = spark.createDataFrame([], "item_id long, text string")
