@@ -135,6 +135,27 @@ def test_knee_and_density():
     assert list(fitted.predict(np.array([[0.0, 0.0], [5, 5]]))) == [fitted.labels[0], fitted.labels[30]]
 
 
+@pytest.mark.parametrize("labels", [3, 40])
+def test_silhouette_has_one_value_at_every_size(spark, monkeypatch, labels):
+    rng = np.random.default_rng(3)
+    c = np.append(rng.integers(0, labels, 399), labels)
+    x = rng.normal(0, 1, (400, 5)) + c[:, None] + 1000
+    x[:50], c[:50] = x[0], c[0]
+    d, size = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)), np.bincount(c)
+    want = []
+    for i in range(400):
+        mean = {k: d[i, c == k].sum() / (size[k] - (k == c[i])) for k in set(c) if size[k] - (k == c[i])}
+        a, b = mean.pop(c[i], None), min(mean[k] for k in mean if k != c[i])
+        want.append(0 if a is None else (b - a) / max(a, b))
+    points = spark.createDataFrame([(v.tolist(), f"c{k}") for v, k in zip(x, c, strict=True)], "vec array<double>, cluster string").repartition(3)
+    assert clustering.silhouette(points) == pytest.approx(np.mean(want), abs=1e-9)
+    monkeypatch.setattr(clustering, "DRIVER_POINTS", 20, raising=False)
+    monkeypatch.setattr(clustering, "EXACT_POINTS", 20, raising=False)
+    for name in ("_BLOCK_POINTS", "_OWN_BLOCKS", "_OTHER_BLOCKS"):
+        monkeypatch.setattr(clustering, name, 7, raising=False)
+    assert clustering.silhouette(points.select("vec", F.substring("cluster", 2, 9).cast("int").alias("cluster"))) == pytest.approx(np.mean(want), abs=1e-9)
+
+
 def test_graph(spark):
     rows = [("x", "v", True, "z"), ("x", "v", None, "z"), ("x", "v", None, "z"), (None, "v", None, "z"), ("b", "v", None, "z"), ("a", "v", None, "z")]
     s = spark.createDataFrame(rows, "arg0 string, verb string, neg boolean, arg1 string")
