@@ -35,6 +35,11 @@ LEAVE_NAMES = frozenset(
     "newsletter subscribe subscription sidebar menu nav navbar navigation breadcrumb breadcrumbs comment comments disqus reply replies respond discussion share sharing social "
     "related recommended recommendations footer header masthead pagination pager toolbar login signin signup search widget skip".split()
 )
+#: Words that may stand beside those in a name; others (has-sidebar, search-results, social-science) make it another thing's name.
+BESIDE = frozenset(
+    "site page main global top bottom left right inner outer primary secondary mobile desktop list box block bar area section wrapper wrap container group item items "
+    "link links post posts article articles story stories entry button buttons icon icons form thread slot unit panel content text title message".split()
+)
 #: Main text seldom crosses these.
 BORDER = frozenset("article main body html frameset".split())
 _CLOSES_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -63,15 +68,20 @@ def tokens(page: str) -> list[tuple]:
     return out
 
 
-def left_out(name: str, attributes: str) -> bool:
-    """Whether an element is never main text, by its name, role, class, id or being hidden."""
+def _leave_name(token: str) -> bool:
+    parts = {w.lower() for w in _NAME_PART.findall(token)}
+    return not parts.isdisjoint(LEAVE_NAMES) and parts <= LEAVE_NAMES | BESIDE
+
+
+def left_out(name: str, attributes: str, names: bool = True) -> bool:
+    """Whether an element is never main text, by its name, role, class or id (with `names`) or being hidden."""
     if name in LEAVE:
         return True
     if not attributes or name in ("html", "body", "article", "main"):
         return False
     for m in _ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if key in ("class", "id") and any(w.lower() in LEAVE_NAMES for w in _NAME_PART.findall(value)):
+        if key in ("class", "id") and names and any(map(_leave_name, value.split())):
             return True
         if key == "role" and value.lower() in ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true":
             return True
@@ -104,9 +114,24 @@ def _tag(token: tuple) -> str:
 
 
 def outside(page: list[tuple]) -> list[bool]:
-    """For each token whether an element around it (or its own) is never main text."""
+    """For each token whether an element around it (or its own) is never main text.
+
+    An element around the page's only article or main element is not left out, and if no word of the
+    page would remain, class and id names do not count."""
+    only = [name for name in ("article", "main") if sum(t[:2] == ("open", name) for t in page) == 1]
+    out, around = _outside(page, only)
+    if around:
+        out, _ = _outside(page, only, around)
+    if any(out) and not any(t[0] == "text" and not o and t[1].split() for t, o in zip(page, out, strict=True)):
+        out, _ = _outside(page, only, around, names=False)
+    return out
+
+
+def _outside(page: list[tuple], only: list[str], kept: frozenset = frozenset(), names: bool = True) -> tuple[list[bool], frozenset]:
+    """What `outside` gives, where the elements opened at `kept` are not left out; and where those around an element of `only` are opened."""
     out: list[bool] = []
-    stack: list[tuple[str, bool]] = []
+    stack: list[tuple[str, bool, int]] = []
+    around: set[int] = set()
     skipping = 0
 
     def pop_to(depth: int) -> None:
@@ -114,9 +139,11 @@ def outside(page: list[tuple]) -> list[bool]:
         while len(stack) > depth:
             skipping -= stack.pop()[1]
 
-    for token in page:
+    for i, token in enumerate(page):
         if token[0] == "open":
             name = token[1]
+            if name in only:
+                around.update(at for _, leave, at in stack if leave)
             if name in _CLOSES_P and stack and stack[-1][0] == "p":
                 pop_to(len(stack) - 1)
             if name == "li":
@@ -124,15 +151,15 @@ def outside(page: list[tuple]) -> list[bool]:
                 if at >= 0 and stack[at][0] == "li":
                     pop_to(at)
             if name not in VOID:
-                leave = left_out(name, token[2])
-                stack.append((name, leave))
+                leave = i not in kept and left_out(name, token[2], names)
+                stack.append((name, leave, i))
                 skipping += leave
         out.append(skipping > 0)
         if token[0] == "close":
             at = next((j for j in range(len(stack) - 1, -1, -1) if stack[j][0] == token[1]), -1)
             if at >= 0:
                 pop_to(at)
-    return out
+    return out, frozenset(around)
 
 
 def best_region(scores: list[float]) -> tuple[int, int]:

@@ -118,6 +118,16 @@ def test_html(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in got)
 
 
+@pytest.mark.parametrize("wrapper", ["class='content has-sidebar'", "class='no-sidebar'", "class='single-post with-comments'", "id='search-results'", "class='social-science'", "class='search'", "id='sidebar'"])
+@pytest.mark.parametrize("inner", ["article", "div"])
+def test_html_wrappers(wrapper, inner):
+    page = f"<html><body><nav>Home</nav><div {wrapper}><{inner}><p>{"First words here. " * 5}</p><p>{"More words. " * 9}</p><p class='site-footer'>{"All rights. " * 9}</p></{inner}></div><footer>Us</footer></body></html>"
+    want = ("First words here. " * 5).strip() + "\n\n" + ("More words. " * 9).strip()
+    if inner == "div" and wrapper in ("class='search'", "id='sidebar'"):
+        want += "\n\n" + ("All rights. " * 9).strip()  # no word would remain by the names
+    assert html_text.main_text(page, html_text.learn([PAGE] * 5)) == want
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_query_equals_sql(spark, name):
