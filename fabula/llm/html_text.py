@@ -1,7 +1,7 @@
 """Main text of HTML pages by maximum-scoring subsequence.
 
 A page is a sequence of words and tags.  A word scores 1, or nothing inside an element that is never
-main text (menus, forms, notices, comments, ...), and a tag a negative weight of its name; one linear
+main text (menus, forms, notices, comments, ...), and a tag a negative weight of its name, or nothing inside such an element; one linear
 scan finds the contiguous region of the largest sum.  The weights are learned from labelled pages by
 a structured perceptron: where the best region is not the labelled one, the tags that only one of the
 two has are moved.  The region is then read block by block, without what is never main text.
@@ -40,6 +40,8 @@ BESIDE = frozenset(
     "site page main global top bottom left right inner outer primary secondary mobile desktop list box block bar area section wrapper wrap container group item items "
     "link links post posts article articles story stories entry button buttons icon icons form thread slot unit panel content text title message".split()
 )
+#: Parts of tables cost little until learned otherwise, so that a table of short cells doesn't break the text around it.
+TABLE = frozenset("table caption colgroup col thead tbody tfoot tr th td".split())
 #: Main text seldom crosses these.
 BORDER = frozenset("article main body html frameset".split())
 _CLOSES_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -98,12 +100,14 @@ class Weights:
     other: float = -2.0
 
     def of(self, token: tuple, outside: bool) -> float:
+        if outside:
+            return 0.0
         if token[0] == "text":
-            return 0.0 if outside else float(len(token[1].split()))
+            return float(len(token[1].split()))
         return self.tag.get(_tag(token), self.start(token[1]))
 
     def start(self, name: str) -> float:
-        return -0.5 if name in INLINE else -10.0 if name in BORDER else self.other
+        return -0.5 if name in INLINE else -0.1 if name in TABLE else -10.0 if name in BORDER else self.other
 
     def scores(self, page: list[tuple], outside: list[bool]) -> list[float]:
         return [self.of(t, o) for t, o in zip(page, outside, strict=True)]
@@ -203,7 +207,7 @@ def learn(pages: list[str], rounds: int = 12, step: float = 1.0, least: float =
             wrong += 1
             change: dict[str, float] = {}
             for i in {*range(a, b)} ^ {*range(c, d)}:
-                if page[i][0] != "text":
+                if page[i][0] != "text" and not out[i]:
                     name = _tag(page[i])
                     change[name] = change.get(name, 0.0) + (step if a <= i < b else -step)
             for name, x in change.items():

@@ -128,6 +128,20 @@ def test_html_wrappers(wrapper, inner):
     assert html_text.main_text(page, html_text.learn([PAGE] * 5)) == want
 
 
+@pytest.mark.parametrize(
+    ("middle", "kept"),
+    [
+        ("<aside><ul>" + "<li><a href='/x'>link</a></li>" * 40 + "</ul></aside>", ""),
+        ("<div class='comments'>" + "<div><p>yes</p></div>" * 60 + "</div>", ""),
+        ("<table>" + ("<tr>" + "<td>7</td>" * 4 + "</tr>") * 30 + "</table>", "7 " * 120),
+    ],
+)
+def test_html_middle_of_article(middle, kept):
+    page = f"<html><body><nav>Home</nav><article><p>{'one ' * 150}</p>{middle}<p>{'two ' * 120}</p></article></body></html>"
+    for weights in (html_text.Weights(), html_text.learn([PAGE] * 5)):
+        assert html_text.main_text(page, weights).split() == ("one " * 150 + kept + "two " * 120).split()
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_query_equals_sql(spark, name):
