@@ -1,6 +1,8 @@
 """The other corpus operators, with odd rows; queries against SQL; the pipeline."""
 
 import os
+import random
+import struct
 import zlib
 
 import duckdb
@@ -9,7 +11,7 @@ import pytest
 
 from fabula.llm import html_text, media, quality
 from fabula.llm.queries import TOKENIZER, queries, oracle_sql
-from fabula.llm.sentencepiece_wfst import Transducer, decode, encode, read_model
+from fabula.llm.sentencepiece_wfst import Transducer, _fields, decode, encode, read_char_map, read_model
 from fabula.llm.sharding import kd_shards
 from fabula.llm.url_filters import Rule, split_url, url_filter
 
@@ -83,6 +85,10 @@ def test_jpeg_with_other_tables():
         media._LOOKUP.clear()
 
 
+def ids_of(machine: Transducer, text: str) -> list[int]:
+    return np.frombuffer(machine.encode(text)[0], np.int32).tolist()
+
+
 @pytest.mark.skipif(not os.path.exists(TOKENIZER), reason="no tokenizer")
 def test_sentencepiece(spark):
     import sentencepiece
@@ -92,15 +98,73 @@ def test_sentencepiece(spark):
         machine = Transducer(read_model(f.read()))
     rng = np.random.default_rng(0)
     pieces = [library.id_to_piece(i).replace("▁", " ") for i in range(259, 32000)]
-    texts = ["", " ", "  a  b", "Hello\nworld\t x", "ﬁ①é 漢😀", "a" * 3000] + ["".join(rng.choice(pieces, rng.integers(1, 9))) for _ in range(3000)]
+    texts = ["", " ", "  a  b", "Hello\nworld\t x", "ﬁ①é 漢😀", "a" * 3000, "▁x ▁ y"] + ["".join(rng.choice(pieces, rng.integers(1, 9))) for _ in range(3000)]
     for t in texts:
-        ids = np.frombuffer(machine.encode(t), np.int32).tolist()
+        ids = ids_of(machine, t)
         assert ids == library.encode(t), t
         assert machine.decode(ids) == library.decode(ids), t
-    rows = [(i, t) for i, t in enumerate([*texts[:6], None])]
-    done = encode(spark.createDataFrame(rows, "doc_id long, text string"), TOKENIZER, check=True)
-    assert done.where("not lossless").count() == 0 and done.count() == 7
-    assert {r["doc_id"]: r["text"] for r in decode(done, TOKENIZER).collect()} == {i: t or "" for i, t in rows}
+    rows = [(i, t, 1) for i, t in enumerate([*texts[:7], None, "long text " * 60_000, "same", "same"])] + [(10, "same", 1), (None, "x", 1)]
+    done = encode(spark.createDataFrame(rows, "doc_id long, text string, n_tokens int"), TOKENIZER, check=True)
+    assert done.where("not lossless").count() == 0 and done.count() == 13
+    assert sorted(((r["doc_id"], r["text"]) for r in decode(done, TOKENIZER).collect()), key=repr) == sorted(((i, (t or "").replace("▁", " ")) for i, t, _ in rows), key=repr)
+    assert encode(spark.createDataFrame([], "doc_id long, text string"), TOKENIZER, check=True).count() == 0
+
+
+def message(*fields: tuple) -> bytes:
+    """A protocol buffer message of (number, int, float or bytes)."""
+    out = b""
+    for number, value in fields:
+        if isinstance(value, float):
+            out += bytes([number << 3 | 5]) + struct.pack("<f", value)
+            continue
+        out += varint(number << 3 | 2 * isinstance(value, bytes))
+        out += varint(len(value)) + value if isinstance(value, bytes) else varint(value)
+    return out
+
+
+def varint(n: int) -> bytes:
+    return bytes([n]) if n < 128 else bytes([n & 127 | 128]) + varint(n >> 7)
+
+
+def model_of(pieces: dict[str, float], kind: int, fallback: bool, squeeze: bool, char_map: bytes = b"", prefix: bool = True) -> bytes:
+    rows = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + [(f"<0x{b:02X}>", 0.0, 6) for b in range(256) if fallback] + [(p, s, 1) for p, s in pieces.items()]
+    listed = [(1, message((1, p.encode()), (2, s), (3, t))) for p, s, t in rows]
+    return message(*listed, (2, message((3, kind), (4, len(rows)), (35, int(fallback)))), (3, message((1, b"own"), (2, char_map), (3, int(prefix)), (4, int(squeeze)), (5, 1))))
+
+
+@pytest.mark.parametrize("kind", [1, 2])
+@pytest.mark.parametrize("fallback", [True, False])
+@pytest.mark.parametrize("squeeze", [True, False])
+@pytest.mark.parametrize("rules", ["identity", "nmt_nfkc_cf"])
+def test_sentencepiece_machines(kind, fallback, squeeze, rules):
+    """Models written by hand, unigram and merges, against the library: character map, white space, fallback, paths."""
+    import sentencepiece
+
+    rnd = random.Random(kind)
+    char_map = b""
+    if rules != "identity":
+        whole = dict(_fields(sentencepiece.SentencePieceNormalizer(rule_name=rules).serialized_model_proto()))
+        char_map = bytes(dict(_fields(whole[3]))[2])
+        assert len(read_char_map(char_map)) > 1000
+    letters = "abcé▁"
+    names = dict.fromkeys([*letters, "\n"][: 6 if squeeze else 5])
+    while len(names) < 80:
+        names["".join(rnd.choice(letters[:4]) for _ in range(rnd.randint(2, 5)))] = None
+    names |= dict.fromkeys("▁" + n for n in [*names][6:40] if not n.startswith("▁"))
+    # Ranks for merges; eighths, which sums keep exactly, for weights.
+    pieces = {p: float(-i) if kind == 2 else -rnd.randint(8, 80) / 8 for i, p in enumerate(names)}
+    data = model_of(pieces, kind, fallback, squeeze, char_map)
+    library, machine = sentencepiece.SentencePieceProcessor(model_proto=data), Transducer(read_model(data))
+    odd = ["", " ", "  a  b ", "\n\n", "xyz xy", "ＡＢＣ ﬁ①", "É\u0301e\u0301", "a\u3000b", "漢漢 漢", "😀", "a" * 300]
+    for t in odd + ["".join(rnd.choice("abcé  x\n") for _ in range(rnd.randint(1, 40))) for _ in range(600)]:
+        ids = ids_of(machine, t)
+        if kind == 2:
+            assert ids == library.encode(t), t
+        else:  # paths of equal weight are equally good
+            weigh = lambda found: sum(machine.score[i] for i in found)
+            assert ids == library.encode(t) or weigh(ids) == weigh(library.encode(t)) and machine.decode(ids) == machine.decode(library.encode(t)), t
+        if fallback:
+            assert machine.decode(ids) == library.decode(ids), t
 
 
 PAGE = """<html><head><title>T</title><script>var a="<p>x</p>";</script></head><body><nav><ul><li><a href="/">Home</a></li></ul></nav>
