@@ -154,6 +154,10 @@ def read_char_map(data: bytes) -> dict[str, str]:
     def below(at: int) -> int:
         return at ^ (unit[at] >> 10 << ((unit[at] & 512) >> 6))
 
+    steps: dict[int, list[tuple[int, int]]] = {}
+    for at, u in enumerate(unit):
+        if u >> 31 == 0 and u & 255:
+            steps.setdefault(at ^ u & 255, []).append((u & 255, at))
     rules: dict[str, str] = {}
     todo = [(0, b"")]
     while todo:
@@ -162,10 +166,7 @@ def read_char_map(data: bytes) -> dict[str, str]:
         if at and unit[at] >> 8 & 1:
             begin = unit[base] & 0x7FFFFFFF
             rules[key.decode("utf-8", "replace")] = strings[begin : strings.index(b"\0", begin)].decode("utf-8", "replace")
-        for byte in range(1, 256):
-            child = base ^ byte
-            if child < len(unit) and unit[child] & 0x800000FF == byte:
-                todo.append((child, key + bytes([byte])))
+        todo += [(child, key + bytes([byte])) for byte, child in steps.get(base, ())]
     return rules
 
 
