@@ -1,7 +1,7 @@
 """Chunks of documents, and messages between chunks and buckets.
 
-A chunk is a set of documents of a bounded number of bytes, chosen by a hash of the id, so that a
-retried task finds the same documents in it.  A bucket owns a share of the hash space.  Chunks send
+A chunk is a set of documents of a bounded number of bytes, chosen by a hash of the id, the text and
+the input partition, so that a retried task finds the same documents in it.  A bucket owns a share of the hash space.  Chunks send
 buckets packed arrays (already made distinct, so a key that occurs in very many documents reaches
 its bucket once a chunk at most), and buckets answer chunks in the same way.
 """
@@ -24,17 +24,50 @@ LEAST_CHUNK_BYTES = 256 << 10
 BATCH_BYTES = 4 << 20
 #: Text bytes that the vectorised kernels take at once.
 SLICE_BYTES = 1 << 20
+#: A key is hot with more rows than this, and than its share of the most hot keys that are broadcast.
+HOT_ROWS, MOST_HOT_KEYS = 500, 100_000
 MESSAGE = "dest int, src int, body binary"
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names for checkpoints.  If it names none: a temporary one in local mode, an error on a cluster."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="checkpoints-")
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder that the session names; a folder of our own if it names none."""
+    """Reliable checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def join_sized(left: DataFrame, right: DataFrame, keys: list[str], size: str, largest: int) -> DataFrame:
+    """Inner join with a table of one row a key that says how many rows of left have it.
+
+    Keys of more than `largest` rows are broadcast, so that none of them is one task's; they are fewer
+    than left's rows over `largest`, which the caller bounds (see `hot_size`)."""
+    hot = right.where(F.col(size) > largest)
+    rest = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(right.where(F.col(size) <= largest), keys)
+    return left.join(F.broadcast(hot), keys).unionByName(rest)
+
+
+def hot_size(rows: int) -> int:
+    """Rows of a key beyond which it is hot: of so many rows, fewer than 100,000 keys can be."""
+    return max(HOT_ROWS, -(-rows // MOST_HOT_KEYS))
+
+
+def result_first(carry: list[str], own: list[str]) -> list[str]:
+    """The carried columns without those that have the name of a column of the result (in any case)."""
+    taken = {c.lower() for c in own}
+    return [c for c in carry if c.lower() not in taken]
+
+
 def tidy(batches):
     """Passes batches on, and at the end of the task gives unused memory back, as workers live on between tasks."""
     try:
@@ -72,7 +105,8 @@ def in_chunks(df: DataFrame, id_col: str, text_col: str, n: int, carry: list[str
     bounded_batches(df)
     ident = F.col(f"`{id_col}`").cast("long")
     text = F.col(f"`{text_col}`").cast("string")
-    chunk = F.pmod(F.xxhash64(ident, F.octet_length(text)), F.lit(n)).cast("int")
+    # With the partition that a row was read from, rows that are wholly equal spread as well.
+    chunk = F.pmod(F.xxhash64(ident, text, F.spark_partition_id()), F.lit(n)).cast("int")
     return df.select(chunk.alias("chunk"), ident.alias("id"), text.alias("text"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)])
 
 
@@ -99,11 +133,11 @@ def messages(dest: list[int], src: int, bodies: list[bytes]) -> pa.Table:
     return pa.table({"dest": pa.array(dest, pa.int32()), "src": pa.array([src] * len(dest), pa.int32()), "body": pa.array(bodies, pa.binary())})
 
 
-def split_by(keys: np.ndarray, n: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-    """Order that gathers equal keys (0 to n - 1), and (key, from, to) of each that occurs."""
+def split_by(keys: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """Order that gathers equal keys, and (key, from, to) of each that occurs."""
     order = np.argsort(keys, kind="stable")
-    bounds = np.searchsorted(keys[order], np.arange(n + 1))
-    return order, [(k, int(bounds[k]), int(bounds[k + 1])) for k in range(n) if bounds[k + 1] > bounds[k]]
+    found, first = np.unique(keys[order], return_index=True)
+    return order, list(zip(found.tolist(), first.tolist(), np.append(first[1:], len(keys))[: len(found)].tolist(), strict=True))
 
 
 def ids_of(table: pa.Table) -> np.ndarray:

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from fabula.llm import _exchange as X
 from fabula.llm import _grams as G
 
+#: Of a zone (its key) the windows that go, as bits.
+VERDICT = np.dtype([("key", "<u8"), ("bits", "<u8")])
 _PLACE = np.uint64((1 << 24) - 1)
 #: A seed that more chunks than this have is hot.
 HOT_CHUNKS = 64
@@ -139,7 +141,7 @@ def _announce(shape: Shape, buckets: int):
             return X.messages([], 0, [])
         several = np.minimum.reduceat(owner, start) != np.maximum.reduceat(owner, start)
         body = (h[start] & ~np.uint64(1)) | several
-        order, parts = X.split_by(_bucket(body, buckets), buckets)
+        order, parts = X.split_by(_bucket(body, buckets))
         body = body[order]
         return X.messages([k for k, _, _ in parts], key[0].as_py(), [body[a:b].tobytes() for _, a, b in parts])
 
@@ -236,6 +238,17 @@ def flagged(z: Zones, keys: np.ndarray, owner: np.ndarray, verdict_keys: np.ndar
     return places[(np.repeat(bits, lens) >> nth.astype(np.uint64)) & np.uint64(1) == 1]
 
 
+def one_each(verdict: np.ndarray) -> np.ndarray:
+    """The verdicts in order of their keys, those of one key joined."""
+    verdict = verdict[np.argsort(verdict["key"], kind="stable")]
+    if len(verdict) == 0:
+        return verdict
+    start = np.flatnonzero(np.r_[True, verdict["key"][1:] != verdict["key"][:-1]])
+    out = verdict[start]
+    out["bits"] = np.bitwise_or.reduceat(verdict["bits"], start)
+    return out
+
+
 def covered(windows: np.ndarray, n: int, span: int) -> np.ndarray:
     """Which of n units some window covers."""
     mark = np.zeros(n + 1, np.int32)

@@ -28,7 +28,6 @@ from fabula.llm import _seeds as S
 _ZONE = np.dtype([("seed", "<u8"), ("id", "<i8"), ("n", "<i4")])
 #: What it holds of each window about a hot seed: window, seed, key of the zone, smallest id, place in the zone.
 _SINGLE = np.dtype([("window", "<u8"), ("seed", "<u8"), ("key", "<u8"), ("id", "<i8"), ("nth", "u1")])
-_VERDICT = np.dtype([("key", "<u8"), ("bits", "<u8")])
 
 
 def shape_for(min_words: int) -> S.Shape:
@@ -57,11 +56,13 @@ def substring_dedup(
 
     Defined cases: a null or empty text has no words; rows with equal ids are one document's for the
     comparison ("smaller" is strict), so they don't remove each other's words; a null id is larger
-    than every other and not smaller than another null.  Texts of any length are taken whole.
+    than every other and not smaller than another null.  Texts of any length are taken whole.  A
+    carried column with the name of a result column is left out.
     """
     shape = shape_for(min_words)
+    carry = X.result_first(carry, [id_col, "n_words", "n_removed", "kept_text", "spans"])
     n = X.chunk_count(df, text_col, chunk_bytes)
-    chunks = X.in_chunks(df, id_col, text_col, n, list(carry))
+    chunks = X.in_chunks(df, id_col, text_col, n, carry)
     shared = S.shared_seeds(chunks, shape, n, hot_chunks)
     asked = chunks.groupBy("chunk").cogroup(shared.groupBy("dest")).applyInArrow(_extend(shape, n), X.MESSAGE)
     verdicts = asked.groupBy("dest").applyInArrow(_judge(shape), X.MESSAGE)
@@ -103,7 +104,7 @@ def _extend(shape: S.Shape, buckets: int):
         alone = S.among(zone["seed"], hot)
         single, single_parts = _singles(zone[alone], zone_keys[alone], begin[alone], window, buckets)
         zone, begin = zone[~alone], begin[~alone]
-        order, parts = X.split_by(S._bucket(zone["seed"], buckets), buckets)
+        order, parts = X.split_by(S._bucket(zone["seed"], buckets))
         zone, begin = zone[order], begin[order]
         whole, apart = ({k: (a, b) for k, a, b in p} for p in (parts, single_parts))
         dest, bodies = sorted(whole.keys() | apart.keys()), []
@@ -123,7 +124,7 @@ def _singles(zone: np.ndarray, keys: np.ndarray, begin: np.ndarray, window: np.n
     out = np.empty(len(places), _SINGLE)
     out["window"], out["nth"] = window[places], places - np.repeat(begin, lens)
     out["seed"], out["key"], out["id"] = (np.repeat(x, lens) for x in (zone["seed"], keys, zone["id"]))
-    order, parts = X.split_by(S._bucket(out["window"], buckets), buckets)
+    order, parts = X.split_by(S._bucket(out["window"], buckets))
     return out[order], parts
 
 
@@ -155,7 +156,7 @@ def _judge(shape: S.Shape):
         if not zones:
             return X.messages([], 0, [])
         zone, window = _verdicts(np.concatenate(zones), np.concatenate(windows)), np.concatenate(singles)
-        single = np.empty(len(window), _VERDICT)
+        single = np.empty(len(window), S.VERDICT)
         single["key"] = window["key"]
         single["bits"] = _later(window["window"], window["seed"], window["id"]).astype(np.uint64) << window["nth"].astype(np.uint64)
         cuts = (np.r_[0, np.cumsum([len(x) for x in found])] for found in (zones, singles))
@@ -171,7 +172,7 @@ def _judge(shape: S.Shape):
 
 
 def _verdicts(zone: np.ndarray, window: np.ndarray) -> np.ndarray:
-    verdict = np.empty(len(zone), _VERDICT)
+    verdict = np.empty(len(zone), S.VERDICT)
     if len(zone) == 0:
         return verdict
     lens = zone["n"].astype(np.int64)
@@ -185,23 +186,12 @@ def _verdicts(zone: np.ndarray, window: np.ndarray) -> np.ndarray:
     return verdict
 
 
-def _one_each(verdict: np.ndarray) -> np.ndarray:
-    """The verdicts in order of their keys, those of one key joined."""
-    verdict = verdict[np.argsort(verdict["key"], kind="stable")]
-    if len(verdict) == 0:
-        return verdict
-    start = np.flatnonzero(np.r_[True, verdict["key"][1:] != verdict["key"][:-1]])
-    out = verdict[start]
-    out["bits"] = np.bitwise_or.reduceat(verdict["bits"], start)
-    return out
-
-
 def _remove(shape: S.Shape, keep_layout: bool, carried: int):
     def remove(key, table, replies):
         texts = table["text"].combine_chunks()
         ids = X.ids_of(table)
-        verdict = np.concatenate([np.empty(0, _VERDICT), *[np.frombuffer(x, _VERDICT) for x in replies["body"].to_pylist()]])
-        verdict = _one_each(verdict)
+        verdict = np.concatenate([np.empty(0, S.VERDICT), *[np.frombuffer(x, S.VERDICT) for x in replies["body"].to_pylist()]])
+        verdict = S.one_each(verdict)
         slices = list(S.each_slice(table, shape))
         keys = [z.release(shape) for *_, z in slices]
         owners = [ids[a + z.doc] for a, _, _, _, z in slices]

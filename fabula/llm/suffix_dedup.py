@@ -7,8 +7,11 @@ length and sends both as front-coded runs (length of the prefix shared with the
 the rest).  A bucket combines its runs with loser trees that keep, for each loser, the length of the
 prefix it shares with the winner, and compare strings beyond that only.  The merge gives both orders
 with their common-prefix arrays; two windows are the same bytes if their suffixes share enough bytes
-right of the seed and their prefixes enough bytes left of it, so equal windows are found exactly, as
-intervals of the two arrays, without pairs of documents.
+right of the seed and their prefixes enough bytes left of it, so between chunks equal windows are found
+by their bytes, as intervals of the two arrays, without pairs of documents.  64-bit hashes choose seeds,
+find which are shared, tell equal zones within a chunk and address the verdicts.  A seed of very many
+chunks is hot: its windows go to buckets one by one, by their own hash, so that a common string in ever
+other surroundings doesn't fill one bucket.
 
 Cost at scale: one shuffle of the text (reused by three rounds), 8 bytes a distinct seed and chunk,
 and front-coded strings only around seeds that two documents share, distinct in a chunk.
@@ -16,6 +19,8 @@ and front-coded strings only around seeds that two documents share, distinct in
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,8 +31,8 @@ from fabula.llm import _grams as G
 from fabula.llm import _seeds as S
 
 #: What a message holds of each zone: key, smallest id, fewest and most bytes left of the seed in its windows.
-_ZONE = np.dtype([("key", "<u8"), ("id", "<i8"), ("least", "<u2"), ("most", "<u2")])
-_VERDICT = np.dtype([("key", "<u8"), ("bits", "<u8")])
+#: (a zone about a hot seed is sent as its windows one by one), and which window of the zone is its first.
+_ZONE = np.dtype([("key", "<u8"), ("id", "<i8"), ("least", "<u2"), ("most", "<u2"), ("nth", "u1")])
 _RESULT = "id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start: long, len: long>>"
 
 
@@ -37,7 +42,7 @@ def shape_for(min_bytes: int) -> S.Shape:
     return S.Shape("bytes", min_bytes, max(8, min_bytes - 63, round(0.32 * min_bytes)))
 
 
-def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = 50, *, chunk_bytes: int = X.CHUNK_BYTES) -> DataFrame:
+def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = 50, *, chunk_bytes: int = X.CHUNK_BYTES, hot_chunks: int = S.HOT_CHUNKS) -> DataFrame:
     """Removes each byte in a string of `min_bytes` bytes that also starts in a document with a smaller id.
 
     Returns id, n_bytes, n_removed, n_spans (maximal removed runs), kept (the other bytes, which may
@@ -50,7 +55,7 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shape = shape_for(min_bytes)
     n = X.chunk_count(df, text_col, chunk_bytes)
     chunks = X.in_chunks(df, id_col, text_col, n)
-    shared = S.shared_seeds(chunks, shape, n)
+    shared = S.shared_seeds(chunks, shape, n, hot_chunks)
     runs = chunks.groupBy("chunk").cogroup(shared.groupBy("dest")).applyInArrow(_sorted_runs(shape, n), X.MESSAGE)
     verdicts = runs.groupBy("dest").applyInArrow(_merge(shape), X.MESSAGE)
     done = chunks.groupBy("chunk").cogroup(verdicts.groupBy("dest")).applyInArrow(_remove(shape), _RESULT)
@@ -175,7 +180,7 @@ def _sorted_runs(shape: S.Shape, buckets: int):
     def sorted_runs(key, table, replies):
         if table.num_rows == 0:
             return X.messages([], 0, [])
-        seeds, ids = S.known(replies), X.ids_of(table)
+        seeds, hot, ids = S.known(replies), S.hot(replies), X.ids_of(table)
         raws, found, total = [], [], 0
         for a, _, buf, _, z in S.each_slice(table, shape):
             z = z.take(S.among(z.hash, seeds))
@@ -187,17 +192,26 @@ def _sorted_runs(shape: S.Shape, buckets: int):
         at, _, least = S.distinct(keys, owner)
         if len(at) == 0:
             return X.messages([], 0, [])
-        order, parts = X.split_by(S._bucket(seed[at] & ~np.uint64(1), buckets), buckets)
-        at, least = at[order], least[order]
+        keys, seed, lo, place, hi = (x[at] for x in (keys, seed, lo, place, hi))
+        nth, bucket = np.zeros(len(at), np.int64), S._bucket(seed & ~np.uint64(1), buckets)
+        alone = S.among(seed, hot)
+        if alone.any():
+            lens = np.where(alone, hi - lo + 1, 1)
+            begin = np.repeat(lo, lens)
+            keys, least, place, bucket, alone = (np.repeat(x, lens) for x in (keys, least, place, bucket, alone))
+            nth = np.where(alone, np.arange(len(begin)) - np.repeat(np.cumsum(lens) - lens, lens), 0)
+            lo, hi = begin + nth, np.where(alone, begin + nth, np.repeat(hi, lens))
+            bucket[alone] = [zlib.crc32(raw[p : p + shape.span]) % buckets for p in lo[alone].tolist()]
+        order, parts = X.split_by(bucket)
         bodies = []
         for _, a, b in parts:
-            some = at[a:b]
+            some = order[a:b]
             starts, seeds_at, ends = lo[some].tolist(), place[some].tolist(), (hi[some] + shape.span).tolist()
             right = [raw[p:e] for p, e in zip(seeds_at, ends, strict=True)]
             left = [raw[s:p][::-1] for s, p in zip(starts, seeds_at, strict=True)]
             by_right = sorted(range(len(right)), key=right.__getitem__)
             zone = np.empty(b - a, _ZONE)
-            zone["key"], zone["id"] = keys[some], least[a:b]
+            zone["key"], zone["id"], zone["nth"] = keys[some], least[some], nth[some]
             zone["least"], zone["most"] = place[some] - hi[some], place[some] - lo[some]
             left = [left[i] for i in by_right]
             by_left = sorted(range(len(left)), key=left.__getitem__)
@@ -225,8 +239,8 @@ def _merge(shape: S.Shape):
         right_order, right_shared = map(np.array, merge_runs(*map(list, zip(*rights, strict=True))))
         left_order, left_shared = map(np.array, merge_runs(*map(list, zip(*lefts, strict=True))))
         bits = equal_windows(zone["id"], zone["least"].astype(np.int64), zone["most"].astype(np.int64), right_order, right_shared, np.concatenate(left_places)[left_order], left_shared, shape.span)
-        verdict = np.empty(total, _VERDICT)
-        verdict["key"], verdict["bits"] = zone["key"], bits
+        verdict = np.empty(total, S.VERDICT)
+        verdict["key"], verdict["bits"] = zone["key"], bits << zone["nth"].astype(np.uint64)
         cut = np.r_[0, np.cumsum([len(z) for z in zones])]
         back = [(c, verdict[a:b][bits[a:b] != 0]) for c, a, b in zip(table["src"].to_pylist(), cut[:-1], cut[1:], strict=True)]
         back = [(c, x.tobytes()) for c, x in back if len(x)]
@@ -262,8 +276,8 @@ def equal_windows(ids, least, most, right_order, right_shared, left_order, left_
 def _remove(shape: S.Shape):
     def remove(key, table, replies):
         ids = X.ids_of(table)
-        verdict = np.concatenate([np.empty(0, _VERDICT), *[np.frombuffer(x, _VERDICT) for x in replies["body"].to_pylist()]])
-        verdict = verdict[np.argsort(verdict["key"], kind="stable")]
+        verdict = np.concatenate([np.empty(0, S.VERDICT), *[np.frombuffer(x, S.VERDICT) for x in replies["body"].to_pylist()]])
+        verdict = S.one_each(verdict)
         slices = [(a, b, buf, off, z, z.release(shape), ids[a + z.doc]) for a, b, buf, off, z in S.each_slice(table, shape)]
         _, local_keys, local_least = S.distinct(np.concatenate([np.empty(0, G.U64), *[x[5] for x in slices]]), np.concatenate([np.empty(0, np.int64), *[x[6] for x in slices]]))
         n_bytes, n_removed, n_spans, kept, spans = [], [], [], [], []

@@ -68,7 +68,8 @@ def test_substring_dedup(spark, n, hot_chunks):
     assert all(r["kept_text"] == text[r["doc_id"]] for r in laid if r["n_removed"] == 0)
 
 
-def test_suffix_dedup(spark):
+@pytest.mark.parametrize("hot_chunks", [64, 1])
+def test_suffix_dedup(spark, hot_chunks):
     rows, n = corpus(), 50
     raw = {i: (t or "").encode() for i, t, *_ in rows}
     first: dict = {}
@@ -82,7 +83,7 @@ def test_suffix_dedup(spark):
             if first[b[s : s + n]] < i:
                 gone[s : s + n] = b"\1" * n
         want[i] = (len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(bytes(c for c, g in zip(b, gone, strict=True) if not g)).hexdigest())
-    got = suffix_dedup(spark.createDataFrame(rows, SCHEMA), chunk_bytes=4000).collect()
+    got = suffix_dedup(spark.createDataFrame(rows, SCHEMA), chunk_bytes=4000, hot_chunks=hot_chunks).collect()
     assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest()) for r in got} == want
 
 
