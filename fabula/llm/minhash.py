@@ -206,11 +206,15 @@ def near_duplicates(
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     signed = X.checkpoint(docs.mapInArrow(_signed(shingle_words, rows, bands), "id long, n long, d1 long, d2 long, keys array<long>"))
     filled = signed.where("n > 0 and id is not null")
-    classes = filled.groupBy("d1", "d2", "n").agg(F.min("id").alias("node"))
-    members = filled.select("id", "d1", "d2", "n").join(classes, ["d1", "d2", "n"]).select("id", "node")
-    keys = filled.join(classes, ["d1", "d2", "n"]).where("id = node").select("node", F.explode("keys").alias("key")).distinct()
-    buckets = keys.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("size")).where("size > 1").select("key", "centre")
-    proposed = X.checkpoint(keys.join(buckets, "key").where("node <> centre").groupBy("node", "centre").agg(F.count("*").alias("votes")))
+    hot = X.hot_size(filled.count())
+    classes = filled.groupBy("d1", "d2", "n").agg(F.min("id").alias("node"), F.count("*").alias("copies"))
+    classed = X.join_sized(filled, classes, ["d1", "d2", "n"], "copies", hot)
+    classed = X.checkpoint(classed.select("id", "node", F.when(F.col("id") == F.col("node"), F.col("keys")).alias("keys")))
+    members = classed.select("id", "node")
+    keys = classed.where("keys is not null").select("node", F.explode("keys").alias("key")).distinct()
+    buckets = keys.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("size")).where("size > 1")
+    proposed = X.join_sized(keys, buckets, ["key"], "size", bands * hot).where("node <> centre")
+    proposed = X.checkpoint(proposed.groupBy("node", "centre").agg(F.count("*").alias("votes")))
     weight = filled.groupBy(F.col("id").alias("node")).agg(F.sum("n").alias("n"))
     family = components(proposed.select(F.col("node").alias("a"), F.col("centre").alias("b"))).withColumnRenamed("component", "family")
     family = X.checkpoint(family.join(weight, "node"))
@@ -227,7 +231,9 @@ def near_duplicates(
         late = _outsiders(found, family, large, block_docs, block_shingles)
         found = found.union(_verified(sets, late, num, den))
     of_class = components(found).withColumnRenamed("component", "least")
-    named = members.join(of_class, "node", "left").select("id", F.coalesce("least", "node").alias("component")).groupBy("id").agg(F.min("component").alias("component"))
+    size = members.groupBy("node").agg(F.count("*").alias("copies"))
+    least = size.join(of_class, "node", "left").select("node", "copies", F.coalesce("least", "node").alias("least"))
+    named = X.join_sized(members, least, ["node"], "copies", hot).groupBy("id").agg(F.min("least").alias("component"))
     out = signed.select("id", "n").join(named, "id", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
