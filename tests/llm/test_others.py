@@ -30,11 +30,35 @@ def test_sharding(spark):
     assert all(sorted(g) == list(range(len(g))) for _, g in got.groupby("shard")["slot"])
     rest = kd_shards(spark.createDataFrame(odd(600)[:-1], SCHEMA), shards=8).toPandas().groupby("shard")["size"].sum()
     assert len(rest) == 8 and rest.max() - rest.min() < 300
+    again = kd_shards(spark.createDataFrame(odd(600), SCHEMA), target_bytes=int(got["size"].sum()) // 8 + 1).toPandas()
+    assert again.fillna(-1).sort_values(["shard", "slot"]).values.tolist() == got.fillna(-1).sort_values(["shard", "slot"]).values.tolist()
     one = got[got.doc_id == 3].iloc[0]
     assert one["size"] == len("text 3 " * 4) + 16 and one["text_crc32"] == zlib.crc32(("text 3 " * 4).encode())
     assert kd_shards(spark.createDataFrame([], SCHEMA), shards=8).count() == 0
 
 
+def test_sharding_of_repeated_rows(spark):
+    rows = [(i, f"text {i}", "en", "s", i, 1, "x") for i in range(400)] + [(7000, "again and again", "en", "hot", 5, 1, "x")] * 400 + [(None, None, None, None, None, None, None)] * 100
+    got = kd_shards(spark.createDataFrame(rows, SCHEMA), shards=8).toPandas()
+    sums = got.groupby("shard")["size"].sum()
+    assert len(got) == 900 and len(sums) == 8 and sums.max() - sums.min() <= 8 * 33
+    assert all(sorted(g) == list(range(len(g))) for _, g in got.groupby("shard")["slot"])
+
+
+@pytest.mark.parametrize("query_shards", [40])
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_sharding_laws(spark, query_shards):
+    """Sizes, checksums, slots and near-equal sums against the table itself."""
+    got = queries()["op2_sharding"](spark, SF).toPandas().set_index("doc_id")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").toPandas().set_index("doc_id")
+    raw = docs["text"].map(lambda t: (t or "").encode())
+    assert got.index.is_unique and set(got.index) == set(docs.index)
+    assert (got["size"].sort_index() == raw.map(len).sort_index() + 16).all() and (got["text_crc32"].sort_index() == raw.map(zlib.crc32).sort_index()).all()
+    assert set(got["shard"]) <= set(range(query_shards)) and all(sorted(g) == list(range(len(g))) for _, g in got.groupby("shard")["slot"])
+    sums = got.groupby("shard")["size"].sum()
+    assert sums.max() - sums.min() <= 6 * got["size"].max() / 2 + 6  # half a row for each of six levels
+
+
 @pytest.mark.parametrize(("url", "want"), [(None, ("", "")), ("x.org/a", ("", "")), ("http://A.Org/B?c#d", ("a.org", "/B")), ("http://a.org#d/e", ("a.org", "")), ("http://a.org?x://y", ("a.org", ""))])
 def test_split_url(url, want):
     assert split_url(url) == want
