@@ -3,14 +3,19 @@
 A benchmark item of n word shingles is compared with item-sized windows (n consecutive shingles) of
 the documents.  A window is placed to end at every shingle that an item of its size has.  The earliest
 best window is among them: while its last shingle is none of the item's, the window one place earlier
-shares as much, up to the start of the document.  So parts of an item may stand in any order.  Each window gets a 64-bit SimHash of its shingles with their multiplicities.  A
-multi-index cuts fingerprints into radius + 1 blocks: two fingerprints within the radius have an
-equal block (pigeonhole), so the index returns all of them.  Candidates within the radius are then
-held to the exact weighted Jaccard similarity.
-
-Cost at scale: one scan of the documents; hashing, the join with the items' shingles (broadcast after
-their number is checked, else by shuffle) and the cut of the windows are one stage without a shuffle.
-What moves afterwards is windows about shared shingles only.
+shares as much, up to the start of the document.  So parts of an item may stand in any order.  Each window gets
+a 64-bit SimHash of its shingles with their multiplicities.  A multi-index cuts fingerprints into
+radius + 1 blocks: two fingerprints within the radius have an equal block (pigeonhole), so the index
+returns all of them.  Candidates within the radius are then held to the exact weighted Jaccard
+similarity.  A radius that holds nearly every pair at 0.8 is wide: blocks are two or three bits, so a
+window meets most items of its size in the index, and it is the radius, not the index, that leaves
+about 1 % of random pairs.  What keeps the work small is that windows are made about shared shingles only.
+
+Cost at scale: one scan of the documents; hashing, the join with the items' shingles, the cut of the
+windows, the index and the check are one stage without a shuffle while the benchmark is small enough to
+broadcast (shingles, index rows and items are all bounded by the number of shingles, which is checked).
+Beyond that the shingles of documents are joined by shuffle, without the texts' arrays, and windows are
+cut by a join back on the documents that have one.
 """
 
 from __future__ import annotations
@@ -18,8 +23,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Most item shingles that are broadcast (about 60 bytes each); more are joined by shuffle.
+#: Most item shingles that are broadcast (about 60 bytes each, the index's rows included); more are joined by shuffle.
 BROADCAST_SHINGLES = 1_000_000
+#: Shingles that an item's rows in the index (24 bytes for each block) count for.
+_INDEX_SHINGLES = 16
+#: Shingles of a document that are held beside one of them at least.
+PIECE = 2048
 
 
 def words(text: Column) -> Column:
@@ -75,6 +84,7 @@ def contaminations(
     shingle_words: int = 5,
     similarity: float = 0.8,
     radius: int = 23,
+    broadcast_shingles: int = BROADCAST_SHINGLES,
 ) -> DataFrame:
     """Returns document id, item id, similarity and start_word of the best window of each pair at `similarity` or more.
 
@@ -89,21 +99,34 @@ def contaminations(
     item = item.select("item", shingles(F.col("w"), shingle_words).alias("ih")).withColumn("n", F.size("ih"))
     # posexplode_outer: the plain form makes Spark filter on the array's size first, and compute it twice
     seed = item.select("n", F.posexplode_outer("ih").alias("q", "h")).where("h is not null").select("h", "n").distinct()
-    items = item.count()
-    many = items > 0 and (seed.count() if items <= BROADCAST_SHINGLES else BROADCAST_SHINGLES + 1) > BROADCAST_SHINGLES
+    item = item.withColumn("own", F.xxhash64("ih"))  # items of one id are told apart
+    held = item.agg(F.count("*").alias("items"), F.sum("n").alias("shingles"), F.max("n").alias("longest")).first()
+    many = (held["shingles"] or 0) + _INDEX_SHINGLES * held["items"] > broadcast_shingles
     small = (lambda d: d) if many else F.broadcast
 
     doc = documents.select(F.col(f"`{id_col}`").alias("doc"), words(F.col(f"`{text_col}`")).alias("w")).select("doc", shingles(F.col("w"), shingle_words).alias("hs"))
-    placed = doc.select("doc", "hs", F.posexplode_outer("hs").alias("p", "h"))
     # One window for each place and size; those that would begin before the document are its first.
-    met = placed.join(small(seed), "h").withColumn("start", F.expr("greatest(0, p - n + 1)"))
-    window = met.select("doc", "n", "start", F.expr("slice(hs, start + 1, n)").alias("wh"))
+    start = F.expr("greatest(0, p - n + 1)").alias("start")
+    if many:  # rows without the arrays go through the shuffle; equal texts are told by a digest
+        doc = doc.withColumn("digest", F.xxhash64("hs"))
+        placed = doc.select("doc", "digest", F.posexplode_outer("hs").alias("p", "h"))
+        met = placed.join(seed, "h").select("doc", "digest", "n", start).distinct()
+        whole = doc.select(F.col("doc").alias("id"), F.col("digest").alias("of"), "hs").dropDuplicates(["id", "of"])
+        window = met.join(whole, F.col("doc").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("of"))).select("doc", "n", "start", F.expr("slice(hs, start + 1, n)").alias("wh"))
+    else:  # long texts in pieces, so that a shingle's row holds no more than a piece
+        piece, longest = max(PIECE, held["longest"] or 0), held["longest"] or 0
+        doc = doc.select("doc", "hs", F.explode_outer(F.expr(f"sequence(0, greatest(size(hs) - 1, 0), {piece})")).alias("at"))
+        doc = doc.select("doc", "at", F.expr(f"greatest(0, at - {longest})").alias("begin"), "hs").select("doc", "at", "begin", F.expr(f"slice(hs, begin + 1, at + {piece} - begin)").alias("hs"))
+        placed = doc.select("doc", "at", "begin", "hs", F.posexplode_outer("hs").alias("q", "h")).where("begin + q >= at").withColumn("p", F.expr("begin + q"))
+        window = placed.join(small(seed), "h").select("doc", "n", start, "begin", "hs").select("doc", "n", "start", F.expr("slice(hs, start - begin + 1, n)").alias("wh"))
     window = window.withColumn("wf", simhash("wh"))
 
     blocks = radius + 1
-    index = item.withColumn("f", simhash("ih")).select("item", "ih", "f", F.explode_outer(block_keys("f", "n", blocks)).alias("k")).select("item", "ih", "f", "k.key")
+    index = item.withColumn("f", simhash("ih")).select("item", "own", "f", F.explode_outer(block_keys("f", "n", blocks)).alias("k")).select("item", "own", "f", "k.key")
     keyed = window.select("doc", "start", "wh", "wf", F.explode_outer(block_keys("wf", "n", blocks)).alias("k")).select("doc", "start", "wh", "wf", "k.nth", "k.key")
     near = keyed.join(small(index), "key").where(f"bit_count(wf ^ f) <= {radius}").where(F.col("nth") == first_equal_block("wf", "f", blocks))
+    texts = item.select(F.col("item").alias("id"), F.col("own").alias("of"), "ih").distinct()
+    near = near.select("doc", "item", "own", "start", "wh").join(small(texts), F.col("item").eqNullSafe(F.col("id")) & (F.col("own") == F.col("of")))
     alike = near.select("doc", "item", "start", weighted_jaccard("wh", "ih").alias("similarity")).where(F.col("similarity") >= similarity)
     best = alike.groupBy("doc", "item").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("b"))
     return best.select(F.col("doc").alias(id_col), F.col("item").alias(item_col), F.col("b.similarity").alias("similarity"), (-F.col("b.back")).alias("start_word"))
@@ -111,5 +134,8 @@ def contaminations(
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The documents without those that hold a benchmark item; a null id is kept."""
-    hit = contaminations(documents, benchmark, id_col, **options).select(F.col(id_col).alias("_hit")).distinct()
-    return documents.join(hit, F.col(f"`{id_col}`") == F.col("_hit"), "left_anti")
+    free = "_hit"
+    while free.lower() in {c.lower() for c in documents.columns}:
+        free += "_"
+    hit = contaminations(documents, benchmark, id_col, **options).select(F.col(id_col).alias(free)).distinct()
+    return documents.join(hit, F.col(f"`{id_col}`") == F.col(free), "left_anti")

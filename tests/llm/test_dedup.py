@@ -7,7 +7,7 @@ from collections import Counter
 
 import pytest
 
-from fabula.llm.decontaminate import contaminations, decontaminate
+from fabula.llm.decontaminate import contaminations, decontaminate, simhash, weighted_jaccard
 from fabula.llm.minhash import near_duplicates
 from fabula.llm.substring_dedup import substring_dedup
 from fabula.llm.suffix_dedup import merge_runs, suffix_dedup
@@ -135,7 +135,8 @@ def test_near_duplicates(spark, block_docs, block_shingles, k, num):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got} == {i: (len(s), find(i), find(i) == i) for i, s in sets.items()}
 
 
-def test_contaminations(spark):
+@pytest.mark.parametrize("broadcast_shingles", [1_000_000, 0])
+def test_contaminations(spark, broadcast_shingles):
     rnd = random.Random(2)
     vocabulary = [f"w{i}" for i in range(400)]
     items = [[rnd.choice(vocabulary) for _ in range(n)] for n in (14, 20, 40, 75, 4, 30)]
@@ -150,6 +151,9 @@ def test_contaminations(spark):
             at = rnd.randint(0, len(w))
             w[at:at] = passage
         docs.append((i, rnd.choice([", ", " ", "\n"]).join(w), "en", 0))
+    long = [rnd.choice(vocabulary) for _ in range(9000)]
+    long[2040:2040], long[4090:4090], long[6200:6200] = items[3], items[2], items[3]  # about the borders of pieces
+    docs += [(103, " ".join(long), "en", 0), (104, " ".join(items[2]), "en", 0), (104, " ".join(items[2]), "en", 0), (104, " ".join(items[5]), "en", 0)]
     docs += [(100, None, "en", 0), (101, "", "en", 0), (None, " ".join(items[0]), "en", 0), (102, " ".join(items[1]).upper(), "en", 0)]
 
     def shingles(w):
@@ -168,7 +172,7 @@ def test_contaminations(spark):
                     want.add((i, n))
     df = spark.createDataFrame(docs, SCHEMA)
     bench = spark.createDataFrame([(n, " ".join(w)) for n, w in enumerate(items)] + [(90, None), (91, "")], "item_id long, text string")
-    assert {(r["doc_id"], r["item_id"]) for r in contaminations(df, bench).collect()} == want and want
+    assert sorted([(r["doc_id"], r["item_id"]) for r in contaminations(df, bench, broadcast_shingles=broadcast_shingles).collect()], key=repr) == sorted(want, key=repr) and want
     assert {r["doc_id"] for r in decontaminate(df, bench).collect()} == {i for i, *_ in docs if i is None or i not in {a for a, _ in want}}
 
 
@@ -185,6 +189,21 @@ def test_contaminations_with_parts_swapped(spark, n, cut):
     assert [tuple(r) for r in contaminations(df, bench).collect()] == [(1, 7, best / (2 * len(own) - best), both.index(best))]
 
 
+def test_recall_of_the_radius(spark):
+    """Of windows at 0.8 exactly, and up to 0.85, the radius holds all."""
+    rnd = random.Random(5)
+    rows = []
+    for i in range(4000):
+        n = rnd.choice([27, 36, 54, 90])
+        same = n * rnd.choice([8, 8, 8, 17]) // 9 if n % 9 == 0 and rnd.random() < 0.9 else n - 1
+        same = min(same, n)
+        h = [rnd.getrandbits(63) for _ in range(2 * n - same)]
+        rows.append((i, h[:n], h[n - same :]))
+    df = spark.createDataFrame(rows, "i int, left array<bigint>, right array<bigint>")
+    found = df.select(weighted_jaccard("left", "right").alias("s"), simhash("left").alias("f"), simhash("right").alias("g")).where("s >= 0.8").selectExpr("count(*) n", "sum(cast(bit_count(f ^ g) <= 23 as int)) near").first()
+    assert found["n"] > 3000 and found["near"] == found["n"]
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     bench = spark.createDataFrame([], "item_id long, text string")
