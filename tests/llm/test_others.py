@@ -230,6 +230,58 @@ def test_html_middle_of_article(middle, kept):
         assert html_text.main_text(page, weights).split() == ("one " * 150 + kept + "two " * 120).split()
 
 
+def test_best_region_by_brute_force():
+    rnd = random.Random(3)
+    for _ in range(300):
+        scores = [rnd.choice([-3.0, -2.0, -0.5, 0.0, 1.0, 2.0, 5.0]) for _ in range(rnd.randint(0, 14))]
+        ranges = [(sum(scores[a:b]), a - b, -a, (a, b)) for a in range(len(scores)) for b in range(a + 1, len(scores) + 1)]
+        best = max(ranges, default=(0, 0, 0, (0, 0)))
+        got = html_text.best_region(scores)
+        assert (sum(scores[slice(*got)]) if got != (0, 0) else 0) == max(best[0], 0)
+        if best[0] > 0 and sum(r[0] == best[0] for r in ranges) == 1:
+            assert got == best[3]
+
+
+def test_region_decides():
+    """Text beside the article is left out by the region alone: nothing names it."""
+    side = "<table><tr><td>Ten more words stand here beside the text itself.</td></tr></table>"
+    pages = [f"<html><body><div><span>{'Seven words that nobody needs at all. ' * (1 + i % 3)}</span></div>{side}<article><h1>Title {i}</h1><p>{'Main words. ' * (12 + i % 9)}</p></article><div>{side}</div></body></html>" for i in range(40)]
+    weights = html_text.learn(pages[:30])
+    for i, page in enumerate(pages[30:], 30):
+        seq = html_text.tokens(page)
+        whole = html_text.blocks(seq, html_text.shares(seq, weights), (0, len(seq)))
+        want = [f"Title {i}", ("Main words. " * (12 + i % 9)).strip()]
+        assert html_text.main_text(page, weights) == "\n\n".join(want) and len(whole) > 4
+
+
+def test_learned_class():
+    """A class that labelled pages have beside the article only is left out within one, too."""
+    pages = [f"<html><body><div class='zz9'>Buy these things now.</div><article><p>{'Main words. ' * 20}</p></article></body></html>"] * 40
+    inside = f"<html><body><article><p>{'Main words. ' * 20}</p><div class='zz9'>Buy these things now.</div><div class='zz8'>Stay here.</div><p>{'Last words. ' * 20}</p></article></body></html>"
+    assert "Buy" in html_text.main_text(inside, html_text.Weights()) and "Stay" in html_text.main_text(inside, html_text.Weights())
+    text = html_text.main_text(inside, html_text.learn(pages))
+    assert "Buy" not in text and "Stay here." in text and "Last" in text
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_html_query(spark, monkeypatch):
+    """The query gives the article of every page; so does the region alone, without a class list."""
+    pages = {r["page_id"]: r for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+
+    def article(page):
+        seq = html_text.tokens(page)
+        return "\n\n".join(html_text.blocks(seq, [1.0] * len(seq), tuple(next(i for i, t in enumerate(seq) if t[:2] == (k, "article")) for k in ("open", "close"))))
+
+    got = queries()["op8_html_text"](spark, SF).collect()
+    assert {r["page_id"]: (r["url"], r["text"], r["n_chars"]) for r in got} == {i: (p["url"], article(p["html"]), len(article(p["html"]))) for i, p in pages.items()}
+    monkeypatch.setattr(html_text, "LEAVE_NAMES", frozenset())
+    weights = html_text.learn([p["html"] for p in pages.values()])
+    for p in pages.values():
+        seq = html_text.tokens(p["html"])
+        region = html_text.best_region(weights.scores(seq, html_text.shares(seq, weights)))
+        assert "\n\n".join(html_text.blocks(seq, [1.0] * len(seq), region)) == article(p["html"])
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_query_equals_sql(spark, name):
