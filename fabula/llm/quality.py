@@ -1,8 +1,8 @@
 """Quality classifier: nearest-neighbour voting among latent-semantic vectors.
 
-Terms are pairs of neighbouring character classes (letters by case, digits, white space, every ASCII
-punctuation mark, other bytes), words repeated at once and lines repeated in the text; so the score
-looks at the form of a text, in any language.  Term counts are weighted (log tf x idf) and projected on
+Terms are words (A-Z folded, hashed to WORDS places), pairs of neighbouring character classes (letters by
+case, digits, white space, every ASCII punctuation mark, other bytes), words repeated at once and lines
+repeated in the text; so the score looks at what a text says and at its form, in any language.  Term counts are weighted (log tf x idf) and projected on
 the leading singular vectors of a bounded labelled sample.  The labelled vectors are broadcast, each
 document's cosine with all of them is computed exactly in blocks, and the nearest ones vote for their
 label with their similarity, weighted by the share of their class among all labels.
@@ -31,10 +31,15 @@ _CLASS[0x0A] = 5
 _CLASS[_PUNCTUATION] = 9 + np.arange(len(_PUNCTUATION))
 _KINDS = 9 + len(_PUNCTUATION)
 PAIRS = _KINDS * _KINDS
-#: Pairs of classes, repeated words, repeated lines.
-TERMS = PAIRS + 2
+#: Places of hashed words.
+WORDS = 1024
+#: Pairs of classes, repeated words, repeated lines, words.
+FORM = PAIRS + 2
+TERMS = FORM + WORDS
 #: Repetition is one term each among hundreds; it counts as so many.
 _REPEAT_WEIGHT = 3.0
+#: A word counts as so much of a pair of classes, of which a text has many more.
+_WORD_WEIGHT = 0.25
 _SLICE = 1 << 20
 _BLOCK = 1024
 
@@ -55,7 +60,8 @@ def term_counts(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     else:
         out[at // PAIRS, at % PAIRS] = count
     starts, ends, of = G.words(buf, off)
-    w = G.word_hashes(buf, starts, ends)
+    w = G.word_hashes(G.FOLD[buf], starts, ends)
+    np.add.at(out, (of, FORM + (w % np.uint64(WORDS)).astype(np.int64)), 1)
     again = (w[1:] == w[:-1]) & (of[1:] == of[:-1])
     out[:, PAIRS] = np.bincount(of[1:][again], minlength=n)
     raw = buf.tobytes()
@@ -84,7 +90,9 @@ class Model:
         return _unit(self.weigh(counts) @ self.projection)
 
     def score(self, counts: np.ndarray) -> np.ndarray:
-        """Share of label 1 in the weighted vote of the nearest; the prior where nothing is similar."""
+        """Share of label 1 in the weighted vote of the nearest; the prior where nothing is similar.
+
+        Of equally near rows at the edge any may vote (which, may depend on the block's rounding)."""
         out = np.full(len(counts), self.prior)
         k = min(self.neighbours, len(self.labels))
         for i in range(0, len(counts) if k else 0, _BLOCK):
@@ -105,7 +113,8 @@ def fit_model(counts: np.ndarray, labels: np.ndarray, shares: dict[int, float],
     if len(labels) == 0:
         return Model(np.ones(TERMS, np.float32), np.zeros((TERMS, dims), np.float32), np.empty((0, dims), np.float32), labels, np.empty(0), 0.5, neighbours)
     idf = (np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))) + 1).astype(np.float32)
-    idf[PAIRS:] *= _REPEAT_WEIGHT
+    idf[PAIRS:FORM] *= _REPEAT_WEIGHT
+    idf[FORM:] *= _WORD_WEIGHT
     y = _unit(np.log1p(counts) * idf).astype(np.float64)
     _, v = np.linalg.eigh(y.T @ y)
     projection = v[:, ::-1][:, :dims].astype(np.float32)
@@ -133,12 +142,12 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     sample = picked[0].union(picked[1])
     texts = documents.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     kind = documents.schema[id_col].dataType.simpleString()
-    rows = texts.join(F.broadcast(sample), "id").select("id", "label", "text").mapInArrow(_counted, f"id {kind}, label int, counts binary")
-    found = {}
-    for r in sorted(rows.collect(), key=lambda r: (r["id"], bytes(r["counts"]))):
-        found.setdefault(r["id"], (r["label"], np.frombuffer(bytes(r["counts"]), np.float32)))
-    counts = np.stack([c for _, c in found.values()]) if found else np.empty((0, TERMS), np.float32)
-    return fit_model(counts, np.array([x for x, _ in found.values()], np.int64), {c: n / total for c, n in shares.items()}, dims, neighbours)
+    X.bounded_batches(documents)
+    least = texts.join(F.broadcast(sample), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
+    rows = least.mapInArrow(_counted, f"id {kind}, label int, counts binary")
+    found = sorted(((r["id"], r["label"], bytes(r["counts"])) for r in rows.collect()), key=lambda r: r[0])
+    counts = np.stack([np.frombuffer(c, np.float32) for _, _, c in found]) if found else np.empty((0, TERMS), np.float32)
+    return fit_model(counts, np.array([x for _, x, _ in found], np.int64), {c: n / total for c, n in shares.items()}, dims, neighbours)
 
 
 def _scored(model, text: str, columns: int):
@@ -152,9 +161,12 @@ def _scored(model, text: str, columns: int):
     return lambda batches: X.tidy(scored(batches))
 
 
-def score(documents: DataFrame, model: Model, text_col: str = "text", *, carry: list[str] = ("doc_id",)) -> DataFrame:
-    """The carried columns and score (0 to 1) of each document; a null or empty text gets the share of label 1."""
+def score(documents: DataFrame, model: Model, text_col: str = "text", *, carry: list[str] = ("doc_id",), score_col: str = "score") -> DataFrame:
+    """The carried columns and score (0 to 1) of each document; a null or empty text gets the share of label 1.
+
+    A carried column named like the score is left out; `score_col` gives the score another name."""
     X.bounded_batches(documents)
+    carry = X.result_first(carry, [score_col])
     names = [f"c{i}" for i in range(len(carry))]
     rows = documents.select(*[F.col(f"`{c}`").alias(n) for n, c in zip(names, carry, strict=True)])
     text = names[list(carry).index(text_col)] if text_col in carry else "text"
@@ -163,7 +175,7 @@ def score(documents: DataFrame, model: Model, text_col: str = "text", *, carry:
     shared = documents.sparkSession.sparkContext.broadcast(model)
     schema = ", ".join([*(f"{n} {documents.schema[c].dataType.simpleString()}" for n, c in zip(names, carry, strict=True)), "score double"])
     out = rows.mapInArrow(_scored(shared, text, len(names)), schema)
-    return out.select(*[F.col(n).alias(c) for n, c in zip(names, carry, strict=True)], "score")
+    return out.select(*[F.col(n).alias(c) for n, c in zip(names, carry, strict=True)], F.col("score").alias(score_col))
 
 
 def held_out(id_col: str = "doc_id"):
