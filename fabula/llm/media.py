@@ -69,24 +69,35 @@ def to_jpeg(payload: np.ndarray) -> bytes:
 
 
 class _Bits:
-    """Bits of a scan, most significant first; ones after the end."""
+    """Bits of a scan, most significant first, from a window of 32; the scan's end is an error, ones follow it for symbols."""
 
     def __init__(self, data: bytes) -> None:
-        self.value, self.left = int.from_bytes(data, "big"), len(data) * 8
+        self.data, self.at, self.end = data + b"\xff" * 4, 0, len(data) * 8
+
+    def peek(self, n: int) -> int:
+        return int.from_bytes(self.data[self.at >> 3 : (self.at >> 3) + 4], "big") >> (32 - n - (self.at & 7)) & ((1 << n) - 1)
 
     def take(self, n: int) -> int:
-        if n > self.left:
+        out = self.peek(n)
+        self.at += n
+        if self.at > self.end:
             raise ValueError("scan ends early")
-        self.left -= n
-        return self.value >> self.left & ((1 << n) - 1)
-
-    def symbol(self, codes: dict[tuple[int, int], int]) -> int:
-        code = 0
-        for n in range(1, 17):
-            code = code << 1 | self.take(1)
-            if (n, code) in codes:
-                return codes[n, code]
-        raise ValueError("no such code")
+        return out
+
+    def symbol(self, codes: list[tuple[int, int] | None]) -> int:
+        found = codes[self.peek(16)]
+        if found is None:
+            raise ValueError("scan ends early" if self.at + 16 > self.end else "no such code")
+        self.take(found[0])
+        return found[1]
+
+
+def _by_bits(counts: bytes, symbols: bytes) -> list[tuple[int, int] | None]:
+    """Length and symbol of the code that 16 bits begin with."""
+    out: list[tuple[int, int] | None] = [None] * 65536
+    for (n, code), symbol in _codes(counts, symbols).items():
+        out[code << (16 - n) : (code + 1) << (16 - n)] = [(n, symbol)] * (1 << (16 - n))
+    return out
 
 
 def _codes(counts: bytes, symbols: bytes) -> dict[tuple[int, int], int]:
@@ -176,7 +187,7 @@ def _scan(raw: bytes, frame: tuple, chosen: dict, quant: dict, tables: dict, res
             return _samples(dc.reshape(rows, columns), quant[luma[3]])
     h, v = (1, 1) if alone else luma[1:3]
     dc = np.zeros((rows * v, columns * h), np.int64)
-    codes = {k: _codes(*t) for k, t in tables.items()}
+    codes = {k: _by_bits(*t) for k, t in tables.items()}
     segments = [s.replace(b"\xff\0", b"\xff") for s in _split_restarts(raw)]
     bits, last = _Bits(segments[0]), dict.fromkeys(chosen, 0)
     for mcu in range(columns * rows):
@@ -321,8 +332,10 @@ def _features(columns: list[str]):
 def media_features(df: DataFrame, media_col: str = "media", *, carry: list[str] = ("doc_id", "n_bytes")) -> DataFrame:
     """Reads JPEG bytes: thumbnail bytes (payload) with digests, dimensions, gradient hashes of the thumbnails.
 
-    Null media gives nulls; bytes that are no baseline JPEG give nulls and the reason in `error`."""
+    Null media gives nulls; bytes that are no baseline JPEG give nulls and the reason in `error`.  A
+    carried column with the name of a result column is left out."""
     X.bounded_batches(df)
+    carry = X.result_first(carry, ["payload_bytes", "payload_sha256", "tail_crc32", "width", "height", "media_bytes", "media_sha256", "feature", "error"])
     names = [f"c{i}" for i in range(len(carry))]
     carried = ", ".join(f"{n} {df.schema[c].dataType.simpleString()}" for n, c in zip(names, carry, strict=True))
     rows = df.select(*[F.col(f"`{c}`").alias(n) for n, c in zip(names, carry, strict=True)], F.col(f"`{media_col}`").alias("media"))
