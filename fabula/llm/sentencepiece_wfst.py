@@ -416,9 +416,11 @@ def encode(df: DataFrame, model_path: str, text_col: str = "text", *, carry: lis
 
     The model file is read by the driver and broadcast (its size is the vocabulary's, not the data's).
     Defined cases: a null or empty text has no tokens; a text of any length is encoded whole; U+2581
-    in a text decodes to a space, as the format has it.
+    in a text decodes to a space, as the format has it.  A carried column with the name of a result
+    column is left out.
     """
     X.bounded_batches(df)
+    carry = X.result_first(carry, ["n_tokens", "token_ids", "lossless"])
     with open(model_path, "rb") as file:
         data = file.read()
     read_model(data)  # refuses on the driver what the workers can't do

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fabula.llm._exchange import result_first
+
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _WORD = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
 
@@ -107,7 +109,9 @@ def url_filter(
 
     Terms are compared with A-Z lower-cased, and count in the whole URL.  A null URL, or one without
     "://", has an empty host and path, fits no rule and is judged by its terms alone (a null: allow).
+    A carried column with the name of a result column is left out.
     """
+    carry = result_first(carry, ["host", "path", "rule", "verdict", "strict_terms", "soft_terms"])
     names = [f"c{i}" for i in range(len(carry))]
     rows = df.select(*[F.col(f"`{c}`").alias(n) for n, c in zip(names, carry, strict=True)], F.col(f"`{url_col}`").cast("string").alias("url"))
     schema = T.StructType(

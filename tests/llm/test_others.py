@@ -1,8 +1,10 @@
 """The other corpus operators, with odd rows; queries against SQL; the pipeline."""
 
+import hashlib
 import os
 import random
 import struct
+import time
 import zlib
 
 import duckdb
@@ -15,7 +17,7 @@ from fabula.llm.sentencepiece_wfst import Transducer, _fields, decode, encode, r
 from fabula.llm.sharding import kd_shards
 from fabula.llm.url_filters import Rule, split_url, url_filter
 
-SF = "/root/testdata/sf0.001"
+SF, SF01 = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, shard string"
 
 
@@ -191,6 +193,184 @@ def test_sentencepiece_machines(kind, fallback, squeeze, rules):
             assert machine.decode(ids) == library.decode(ids), t
 
 
+def encoded_scan(image, parts, dc_table, ac_table, restart):
+    """Bytes of an interleaved scan of random coefficients, and the DC values of each component by block row and column."""
+    rnd, bits, out, last = random.Random(8), [], b"", {}
+    columns, rows = image
+    dc = {c: np.zeros((rows * v, columns * h), int) for c, h, v in parts}
+
+    def flush():
+        nonlocal bits, out
+        bits += [1] * (-len(bits) % 8)
+        out += bytes(int("".join(map(str, bits[i : i + 8])), 2) for i in range(0, len(bits), 8)).replace(b"\xff", b"\xff\0")
+        bits = []
+
+    def put(value, n):
+        bits.extend(value >> i & 1 for i in range(n - 1, -1, -1))
+
+    def number(x, size):
+        put(x if x >= 0 else x + (1 << size) - 1, size)
+
+    for mcu in range(columns * rows):
+        if restart and mcu and mcu % restart == 0:
+            flush()
+            out += bytes([0xFF, 0xD0 + (mcu // restart - 1) % 8])
+            last = {}
+        for c, h, v in parts:
+            for y in range(v):
+                for x in range(h):
+                    value = rnd.randint(-100, 100)
+                    d = value - last.get(c, 0)
+                    last[c] = value
+                    size = abs(d).bit_length()
+                    put(*dc_table[size])
+                    number(d, size)
+                    k = 1
+                    while k < 64 and rnd.random() < 0.6:
+                        run = rnd.choice([0, 1, 15])
+                        if k + run > 63:
+                            break
+                        if run == 15 and rnd.random() < 0.5:
+                            put(*ac_table[0xF0])
+                            k += 16
+                            continue
+                        put(*ac_table[run << 4 | 2])
+                        number(rnd.choice([-3, -2, 2, 3]), 2)
+                        k += run + 1
+                    if k < 64:
+                        put(*ac_table[0])
+                    dc[c][mcu // columns * v + y, mcu % columns * h + x] = value
+    flush()
+    return out, dc
+
+
+def codes_of(counts, symbols):
+    return {s: (code, n) for (n, code), s in media._codes(bytes(counts), bytes(symbols)).items()}
+
+
+@pytest.mark.parametrize("restart", [0, 3])
+@pytest.mark.parametrize("sampling", [[(1, 1, 1)], [(1, 2, 2), (2, 1, 1), (3, 1, 1)], [(1, 2, 1), (2, 1, 1), (3, 1, 1)], [(1, 1, 1), (2, 1, 1), (3, 1, 1)]])
+def test_foreign_jpeg(sampling, restart):
+    """Frames as other encoders write them: colour, subsampling, restarts, AC coefficients, sides that are no multiple of a block."""
+    columns, rows = 5, 4
+    dc_counts, dc_symbols = [0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0], range(12)
+    ac_counts, ac_symbols = [0, 0, 3, 2] + [0] * 12, [0x00, 0x02, 0x12, 0xF2, 0xF0]
+    scan, dc = encoded_scan((columns, rows), sampling, codes_of(dc_counts, dc_symbols), codes_of(ac_counts, ac_symbols), restart)
+    most_h, most_v = max(h for _, h, _ in sampling), max(v for _, _, v in sampling)
+    wide, high = columns * 8 * most_h - 3, rows * 8 * most_v - 9
+    frame = struct.pack(">BHHB", 8, high, wide, len(sampling)) + b"".join(bytes([c, h << 4 | v, 0]) for c, h, v in sampling)
+    data = b"\xff\xd8" + media._segment(0xFE, b"comment") + media._segment(0xDB, b"\0" + bytes([4] * 64)) + media._segment(0xC0, frame)
+    data += media._segment(0xC4, b"\x00" + bytes(dc_counts) + bytes(dc_symbols) + b"\x10" + bytes(ac_counts) + bytes(ac_symbols))
+    data += (media._segment(0xDD, struct.pack(">H", restart)) if restart else b"") + media._segment(0xDA, bytes([len(sampling)]) + b"".join(bytes([c, 0]) for c, _, _ in sampling) + b"\0\x3f\0") + scan + b"\xff\xd9"
+    (got,) = media.read_jpeg(data)
+    h, v = (1, 1) if len(sampling) == 1 else sampling[0][1:]
+    want = dc[1][: -(-high * v // (8 * most_v)), : -(-wide * h // (8 * most_h))]
+    assert got.tolist() == np.clip((want * 4 + 4) // 8 + 128, 0, 255).tolist()
+    with pytest.raises(ValueError):
+        media.read_jpeg(data[: len(data) - len(scan) // 2] + b"\xff\xd9")
+
+
+def test_bit_reader_is_linear():
+    rng = np.random.default_rng(1)
+    found, media._lookup = media._lookup, lambda *a: None
+    media._LOOKUP.clear()
+    try:
+        took = []
+        for n in (72, 288):
+            p = rng.integers(0, 256, 576 * n).astype(np.uint8)
+            data = media.to_jpeg(p)
+            began = time.perf_counter()
+            assert media.read_jpeg(data)[0].tobytes() == p.tobytes()
+            took.append(time.perf_counter() - began)
+        assert took[1] < 12 * took[0]
+    finally:
+        media._lookup = found
+        media._LOOKUP.clear()
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_media_query(spark):
+    """Sizes, digests and checksums of the payloads against the texts; equal texts, equal values."""
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    got = queries()["op6_media"](spark, SF).collect()
+    assert len(got) == len(texts)
+    same = {}
+    for r in got:
+        raw = texts[r["doc_id"]]
+        payload = raw + b"\xff" * (max(576, -(-len(raw) // 576) * 576) - len(raw))
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        stored = media.to_jpeg(np.frombuffer(payload, np.uint8))
+        assert (r["media_bytes"], r["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest())
+        assert same.setdefault(raw, r["feature"]) == r["feature"]
+
+
+def test_votes_by_brute_force():
+    rng = np.random.default_rng(4)
+    counts = rng.integers(0, 5, (300, quality.TERMS)).astype(np.float32) * (rng.random((300, quality.TERMS)) < 0.05)
+    labels = rng.integers(0, 2, 200)
+    model = quality.fit_model(counts[:200], labels, {0: 0.3, 1: 0.7}, 16, 9)
+    got = model.score(counts[200:])
+    for row, x in zip(counts[200:], got, strict=True):
+        v = np.log1p(row) * model.idf
+        v = v / np.linalg.norm(v) @ model.projection.astype(float)
+        cosine = (model.vectors @ (v / np.linalg.norm(v))).tolist()
+        best = sorted(range(200), key=lambda i: -cosine[i])[:9]
+        vote = [max(cosine[i], 0) * (0.3 / (labels == 0).sum() if labels[i] == 0 else 0.7 / (labels == 1).sum()) for i in best]
+        assert abs(x - sum(w for w, i in zip(vote, best, strict=True) if labels[i]) / sum(vote)) < 1e-3
+
+
+@pytest.mark.skipif(not os.path.isdir(SF01), reason="no test tables")
+def test_quality_held_out(spark):
+    """Whole table, the held-out rows by their rule, and accuracy on them well above the commoner label's share."""
+    got = queries()["op5_quality"](spark, SF01).toPandas().set_index("doc_id")
+    labels = spark.read.parquet(f"{SF01}/labels.parquet").toPandas().set_index("doc_id")["quality"]
+    assert len(got) == spark.read.parquet(f"{SF01}/documents.parquet").count()
+    assert all(h == (zlib.crc32(str(i).encode()) % 3 == 1) for i, h in got["held_out"].items())
+    assert got["score"].between(0, 1).all() and ((got["score"] >= 0.5).astype(int) == got["predicted"]).all()
+    tried = got.join(labels, how="inner").query("held_out")
+    assert (tried["predicted"] == tried["quality"]).mean() > 0.95 > tried["quality"].mean()
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_tokens_query(spark):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=TOKENIZER)
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    got = queries()["op7_sentencepiece"](spark, SF).collect()
+    assert {r["doc_id"]: (r["n_tokens"], r["token_ids"], r["lossless"]) for r in got} == {i: (len(x := library.encode(t)), x, True) for i, t in texts.items()}
+
+
+def test_carried_names_that_clash(spark):
+    """A carried column with the name of a result column is left out; odd rows and empty tables pass every operator."""
+    from fabula.llm.minhash import near_duplicates
+    from fabula.llm.substring_dedup import substring_dedup
+    from fabula.llm.suffix_dedup import suffix_dedup
+
+    names = "n_words n_removed kept_text spans host path rule verdict score feature error n_tokens token_ids lossless html n_chars id n chunk keys node size shard slot _later _hit c0 label".split()
+    schema = "doc_id long, page_id long, text string, url string, media binary, n_bytes long, " + ", ".join(f"{n} string" for n in names)
+    long = "word " * 70_000
+    rows = [(i, i, t, u, None, 1, *["x"] * len(names)) for i, t, u in ((1, "a b c", "http://x.org/" + "p" * 90_000), (1, "a b c", "http://x.org/"), (2, None, None), (None, "", ""), (3, long, "casino"))]
+    for table in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
+        n, columns = table.count(), table.columns
+        labels = table.selectExpr("doc_id", "1 as quality")
+        model = quality.fit(table, labels)
+        found = [
+            substring_dedup(table, carry=[c for c in columns if c not in ("doc_id",)]),
+            suffix_dedup(table),
+            url_filter(table, carry=columns),
+            quality.score(table, model, carry=columns),
+            encode(table, TOKENIZER, carry=columns, check=True),
+            media.media_features(table, carry=columns),
+            media.texts_to_media(table),
+            html_text.extract(table, html_text.fit(table), carry=columns),
+            near_duplicates(table),
+            kd_shards(table, dims=["doc_id", "shard"], shards=3),
+        ]
+        for out in found:
+            assert len({c.lower() for c in out.columns}) == len(out.columns) and out.count() == n
+
+
 PAGE = """<html><head><title>T</title><script>var a="<p>x</p>";</script></head><body><nav><ul><li><a href="/">Home</a></li></ul></nav>
 <div class="cookie-notice">We use cookies on this site, and so on and on.</div><article><h1>A  title</h1><p>First &amp; <b>bold</b>
 words.<p>Second one.<div class="ad">Buy now, buy now</div><form>Name <input></form></article><div id="comments"><p>I like it very much indeed.</p></div><footer>&copy; all</footer>"""
