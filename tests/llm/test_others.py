@@ -472,18 +472,3 @@ def test_query_equals_sql(spark, name):
     want = con.sql(oracle_sql()[name])
     order = [want.columns.index(c) for c in got.columns]
     assert sorted(map(tuple, got.collect()), key=repr) == sorted((tuple(r[i] for i in order) for r in want.fetchall()), key=repr)
-
-
-@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-def test_pipeline_stages(spark):
-    import corpus_pipeline as p
-
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    columns, before = docs.columns, docs.count()
-    for _, stage in p.STAGES[:-1]:
-        docs = stage(spark, docs, SF)
-        assert docs.columns == columns
-        after = docs.count()
-        assert 0 < after <= before
-        before = after
-    assert p.run(spark, SF).count() == before
