@@ -20,8 +20,9 @@ from fabula.llm import _grams as G
 #: Of a zone (its key) the windows that go, as bits.
 VERDICT = np.dtype([("key", "<u8"), ("bits", "<u8")])
 _PLACE = np.uint64((1 << 24) - 1)
-#: A seed that more chunks than this have is hot.
-HOT_CHUNKS = 64
+#: A seed that more chunks than this have is hot, or one of which more chunks than the second number have so many zones.
+HOT_CHUNKS, HOT_MANY, MANY_ZONES = 4096, 16, 64
+_MARKS = np.uint64(3)
 
 
 @dataclass(frozen=True)
@@ -127,7 +128,7 @@ def each_slice(table: pa.Table, shape: Shape):
 
 def _announce(shape: Shape, buckets: int):
     def announce(key, table):
-        """Each distinct seed of the chunk, with a mark in the lowest bit if two ids have it."""
+        """Each distinct seed of the chunk, with marks in the lowest bits: that two ids have it, and that many zones do."""
         ids = X.ids_of(table)
         hashes, owners = [], []
         for a, _, _, _, z in each_slice(table, shape):
@@ -136,11 +137,12 @@ def _announce(shape: Shape, buckets: int):
         h, owner = np.concatenate([*hashes, np.empty(0, G.U64)]), np.concatenate([*owners, np.empty(0, np.int64)])
         order = np.argsort(h)
         h, owner = h[order], owner[order]
-        start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.empty(0, np.int64)
+        start = np.flatnonzero(np.r_[True, (h[1:] ^ h[:-1]) > _MARKS]) if len(h) else np.empty(0, np.int64)
         if len(start) == 0:
             return X.messages([], 0, [])
         several = np.minimum.reduceat(owner, start) != np.maximum.reduceat(owner, start)
-        body = (h[start] & ~np.uint64(1)) | several
+        many = np.diff(np.r_[start, len(h)]) >= MANY_ZONES
+        body = (h[start] & ~_MARKS) | several | many.astype(np.uint64) << np.uint64(1)
         order, parts = X.split_by(_bucket(body, buckets))
         body = body[order]
         return X.messages([k for k, _, _ in parts], key[0].as_py(), [body[a:b].tobytes() for _, a, b in parts])
@@ -166,7 +168,7 @@ def _matched(key, table, hot_chunks: int):
         return X.messages([], 0, [])
     h = np.concatenate(bodies)
     lens = np.array([len(x) for x in bodies])
-    seed = h & ~np.uint64(1)
+    seed = h & ~_MARKS
     order = np.argsort(seed)
     start = np.flatnonzero(np.r_[True, seed[order][1:] != seed[order][:-1]])
     count = np.diff(np.r_[start, len(h)])
@@ -174,7 +176,9 @@ def _matched(key, table, hot_chunks: int):
     flag = np.empty(len(h), bool)
     flag[order] = np.repeat(shared, count)
     marked = np.empty_like(seed)
-    marked[order] = seed[order] | np.repeat(count > hot_chunks, count).astype(np.uint64)
+    many = np.add.reduceat((h >> np.uint64(1) & np.uint64(1))[order], start)
+    hot = (count > hot_chunks) | (many > min(hot_chunks, HOT_MANY))
+    marked[order] = seed[order] | np.repeat(hot, count).astype(np.uint64)
     at = np.r_[0, np.cumsum(lens)]
     back = [(int(c), marked[a:b][flag[a:b]].tobytes()) for c, a, b in zip(table["src"].to_pylist(), at[:-1], at[1:], strict=True)]
     back = [(c, x) for c, x in back if x]
@@ -202,7 +206,7 @@ def _marked(table: pa.Table) -> np.ndarray:
 
 
 def among(h: np.ndarray, seeds: np.ndarray) -> np.ndarray:
-    h = h & ~np.uint64(1)
+    h = h & ~_MARKS
     if len(seeds) == 0:
         return np.zeros(len(h), bool)
     at = np.searchsorted(seeds, h)

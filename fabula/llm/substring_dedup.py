@@ -8,8 +8,8 @@ holds the anchor is compared, for each number of words left of it, by anchor and
 Cost at scale: the text is shuffled once (its exchange serves all three rounds).  Anchors are about
 a fifth of the words, sent as 8 bytes and distinct in a chunk; windows are sent only around shared
 anchors, distinct in a chunk.  No pairs of documents are made, so a group of a million copies costs
-what a million other documents cost.  An anchor of very many chunks, such as a common phrase in
-ever other surroundings, is hot: its windows go to buckets one by one, by their own hash.
+what a million other documents cost.  An anchor of very many chunks, or very many places in
+several, such as a common phrase in ever other surroundings, is hot: its windows go to buckets one by one, by their own hash.
 """
 
 from __future__ import annotations

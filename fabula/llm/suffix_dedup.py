@@ -193,7 +193,7 @@ def _sorted_runs(shape: S.Shape, buckets: int):
         if len(at) == 0:
             return X.messages([], 0, [])
         keys, seed, lo, place, hi = (x[at] for x in (keys, seed, lo, place, hi))
-        nth, bucket = np.zeros(len(at), np.int64), S._bucket(seed & ~np.uint64(1), buckets)
+        nth, bucket = np.zeros(len(at), np.int64), S._bucket(seed, buckets)
         alone = S.among(seed, hot)
         if alone.any():
             lens = np.where(alone, hi - lo + 1, 1)
