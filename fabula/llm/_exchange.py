@@ -52,9 +52,9 @@ def join_sized(left: DataFrame, right: DataFrame, keys: list[str], size: str, la
 
     Keys of more than `largest` rows are broadcast, so that none of them is one task's; they are fewer
     than left's rows over `largest`, which the caller bounds (see `hot_size`)."""
-    hot = right.where(F.col(size) > largest)
-    rest = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(right.where(F.col(size) <= largest), keys)
-    return left.join(F.broadcast(hot), keys).unionByName(rest)
+    marked = left.join(F.broadcast(right.where(F.col(size) > largest)), keys, "left")
+    rest = marked.where(F.col(size).isNull()).select(*left.columns).join(right.where(F.col(size) <= largest), keys)
+    return marked.where(F.col(size).isNotNull()).unionByName(rest)
 
 
 def hot_size(rows: int) -> int:

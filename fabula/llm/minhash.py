@@ -209,11 +209,11 @@ def near_duplicates(
     hot = X.hot_size(filled.count())
     classes = filled.groupBy("d1", "d2", "n").agg(F.min("id").alias("node"), F.count("*").alias("copies"))
     classed = X.join_sized(filled, classes, ["d1", "d2", "n"], "copies", hot)
-    classed = X.checkpoint(classed.select("id", "node", F.when(F.col("id") == F.col("node"), F.col("keys")).alias("keys")))
+    classed = X.checkpoint(classed.select("id", "node", "copies", F.when(F.col("id") == F.col("node"), F.col("keys")).alias("keys")))
     members = classed.select("id", "node")
     keys = classed.where("keys is not null").select("node", F.explode("keys").alias("key")).distinct()
-    buckets = keys.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("size")).where("size > 1")
-    proposed = X.join_sized(keys, buckets, ["key"], "size", bands * hot).where("node <> centre")
+    buckets = keys.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("size")).where("size > 1").select("key", "centre")
+    proposed = keys.join(buckets, "key").where("node <> centre")
     proposed = X.checkpoint(proposed.groupBy("node", "centre").agg(F.count("*").alias("votes")))
     weight = filled.groupBy(F.col("id").alias("node")).agg(F.sum("n").alias("n"))
     family = components(proposed.select(F.col("node").alias("a"), F.col("centre").alias("b"))).withColumnRenamed("component", "family")
@@ -231,7 +231,8 @@ def near_duplicates(
         late = _outsiders(found, family, large, block_docs, block_shingles)
         found = found.union(_verified(sets, late, num, den))
     of_class = components(found).withColumnRenamed("component", "least")
-    size = members.groupBy("node").agg(F.count("*").alias("copies"))
+    # A class's first member stands for it; a node that stands for several classes has their largest number of copies.
+    size = classed.where("keys is not null").groupBy("node").agg(F.max("copies").alias("copies"))
     least = size.join(of_class, "node", "left").select("node", "copies", F.coalesce("least", "node").alias("least"))
     named = X.join_sized(members, least, ["node"], "copies", hot).groupBy("id").agg(F.min("least").alias("component"))
     out = signed.select("id", "n").join(named, "id", "left")
