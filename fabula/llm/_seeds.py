@@ -21,7 +21,7 @@ from fabula.llm import _grams as G
 VERDICT = np.dtype([("key", "<u8"), ("bits", "<u8")])
 _PLACE = np.uint64((1 << 24) - 1)
 #: A seed that more chunks than this have is hot, or one of which more chunks than the second number have so many zones.
-HOT_CHUNKS, HOT_MANY, MANY_ZONES = 4096, 16, 64
+HOT_CHUNKS, HOT_MANY, MANY_ZONES = 4096, 16, 256
 _MARKS = np.uint64(3)
 
 
