@@ -8,7 +8,7 @@ document's cosine with all of them is computed exactly in blocks, and the neares
 label with their similarity, weighted by the share of their class among all labels.
 
 Bounds: at most `per_class` labelled rows a class are fitted, whatever the size of the corpus, so the
-broadcast model has about 2 x per_class x (dims + 2) + terms x dims floats (under 1.5 MB by default).
+broadcast model has about 2 x per_class x (dims + 2) + terms x dims floats (under 2 MB by default).
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ _CLASS[_PUNCTUATION] = 9 + np.arange(len(_PUNCTUATION))
 _KINDS = 9 + len(_PUNCTUATION)
 PAIRS = _KINDS * _KINDS
 #: Places of hashed words.
-WORDS = 1024
+WORDS = 512
 #: Pairs of classes, repeated words, repeated lines, words.
 FORM = PAIRS + 2
 TERMS = FORM + WORDS
@@ -71,6 +71,11 @@ def term_counts(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out
 
 
+def _blocks(off: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of documents, bounded in bytes and in number, as their counts are dense."""
+    return [(i, min(b, i + _BLOCK)) for a, b in G.slices(off, _SLICE) for i in range(a, b, _BLOCK)]
+
+
 @dataclass(frozen=True)
 class Model:
     """idf by term, projection (terms x dims), labelled vectors (unit rows), labels, class weights, share of label 1."""
@@ -109,25 +114,36 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
+def leading_vectors(y: np.ndarray, dims: int, rounds: int = 10) -> np.ndarray:
+    """The leading right singular vectors (terms x dims) by subspace iteration, which needs no terms x terms matrix."""
+    basis = np.random.default_rng(7).standard_normal((y.shape[1], min(y.shape[1], dims + 32))).astype(np.float32)
+    for _ in range(rounds):
+        basis, _ = np.linalg.qr(y.T @ (y @ basis))
+    _, _, v = np.linalg.svd(y @ basis, full_matrices=False)
+    return basis @ v[:dims].T
+
+
 def fit_model(counts: np.ndarray, labels: np.ndarray, shares: dict[int, float], dims: int, neighbours: int) -> Model:
     if len(labels) == 0:
         return Model(np.ones(TERMS, np.float32), np.zeros((TERMS, dims), np.float32), np.empty((0, dims), np.float32), labels, np.empty(0), 0.5, neighbours)
     idf = (np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))) + 1).astype(np.float32)
     idf[PAIRS:FORM] *= _REPEAT_WEIGHT
     idf[FORM:] *= _WORD_WEIGHT
-    y = _unit(np.log1p(counts) * idf).astype(np.float64)
-    _, v = np.linalg.eigh(y.T @ y)
-    projection = v[:, ::-1][:, :dims].astype(np.float32)
+    y = np.log1p(counts)
+    y *= idf
+    y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-12)
+    projection = leading_vectors(y, dims)
     weights = np.array([shares[int(c)] / max(1, int((labels == c).sum())) for c in labels]) * len(labels)
-    return Model(idf, projection, _unit(y.astype(np.float32) @ projection), labels.astype(np.float64), weights, shares.get(1, 0.0), neighbours)
+    return Model(idf, projection, _unit(y @ projection), labels.astype(np.float64), weights, shares.get(1, 0.0), neighbours)
 
 
 def _counted(batches):
     for batch in batches:
         buf, off = G.text_buffer(batch["text"])
-        for a, b in G.slices(off, _SLICE):
+        for a, b in _blocks(off):
             rows = term_counts(buf[off[a] : off[b]], off[a : b + 1] - off[a])
-            yield pa.RecordBatch.from_arrays([batch["id"].slice(a, b - a), batch["label"].slice(a, b - a), pa.array([r.tobytes() for r in rows], pa.binary())], ["id", "label", "counts"])
+            packed = [np.flatnonzero(r).astype("<u2").tobytes() + r[r != 0].tobytes() for r in rows]
+            yield pa.RecordBatch.from_arrays([batch["id"].slice(a, b - a), batch["label"].slice(a, b - a), pa.array(packed, pa.binary())], ["id", "label", "counts"])
 
 
 def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", *, per_class: int = 1500, dims: int = 64, neighbours: int = 25) -> Model:
@@ -146,7 +162,10 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     least = texts.join(F.broadcast(sample), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
     rows = least.mapInArrow(_counted, f"id {kind}, label int, counts binary")
     found = sorted(((r["id"], r["label"], bytes(r["counts"])) for r in rows.collect()), key=lambda r: r[0])
-    counts = np.stack([np.frombuffer(c, np.float32) for _, _, c in found]) if found else np.empty((0, TERMS), np.float32)
+    counts = np.zeros((len(found), TERMS), np.float32)
+    for row, (_, _, c) in zip(counts, found, strict=True):
+        n = len(c) // 6
+        row[np.frombuffer(c, "<u2", n)] = np.frombuffer(c, "<f4", n, 2 * n)
     return fit_model(counts, np.array([x for _, x, _ in found], np.int64), {c: n / total for c, n in shares.items()}, dims, neighbours)
 
 
@@ -154,7 +173,7 @@ def _scored(model, text: str, columns: int):
     def scored(batches):
         for batch in batches:
             buf, off = G.text_buffer(batch[text])
-            scores = [model.value.score(term_counts(buf[off[a] : off[b]], off[a : b + 1] - off[a])) for a, b in G.slices(off, _SLICE)]
+            scores = [model.value.score(term_counts(buf[off[a] : off[b]], off[a : b + 1] - off[a])) for a, b in _blocks(off)]
             score = pa.array(np.concatenate([np.empty(0), *scores]))
             yield pa.RecordBatch.from_arrays([*batch.columns[:columns], score], [*batch.schema.names[:columns], "score"])
 
