@@ -32,8 +32,10 @@ def replace_sentences(sents: DataFrame, max_chars: int | None = None, max_words:
     return sents.withColumn("sentence", X.limited(F.col("sentence"), max_chars, max_words))
 
 
-def batches_fixed(sents: DataFrame, batch_size: int, id_col: str = "doc_id") -> DataFrame:
-    """batch_id: so many sentences of a document each."""
+def batches_fixed(sents: DataFrame, batch_size: int, id_col: str = "doc_id", *, whole: bool = False) -> DataFrame:
+    """batch_id: so many sentences of a document each.  whole: all sentences that split_sentences gave are there, so sent_id is their number and nothing is shuffled."""
+    if whole:
+        return sents.withColumn("batch_id", F.floor(F.col("sent_id") / batch_size).cast("int"))
     return sents.withColumn("batch_id", F.floor((F.row_number().over(Window.partitionBy(id_col).orderBy("sent_id")) - 1) / batch_size).cast("int"))
 
 

@@ -11,8 +11,13 @@ from fabula.operators.sentences import split_sentences
 from fabula.schema import TEXT_ROLES
 
 #: Forms of "be" and "have"; languages without a list have no statements.
-VERBS = {"en": ["is", "are", "was", "were", "be", "has", "have"], "fr": ["est", "sont", "était", "a", "ont"]}
-NEGATIONS = ["not", "never", "ne", "pas"]
+VERBS = {
+    "en": ["is", "are", "was", "were", "be", "has", "have"],
+    "fr": ["est", "sont", "était", "a", "ont"],
+    "de": ["ist", "sind", "war", "waren", "hat", "haben", "wird"],
+    "es": ["es", "son", "era", "eran", "está", "ha", "han", "tiene"],
+}
+NEGATIONS = ["not", "never", "ne", "pas", "nicht", "kein", "nie", "no", "nunca"]
 _EDGES = "^[^a-zà-ÿ]+|[^a-zà-ÿ]+$"
 
 
@@ -44,8 +49,13 @@ def lexicon_statements(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.where("arg0 is not null and arg1 is not null") if only_triplets else out
 
 
-def process_roles(statements: DataFrame, cleaner: Cleaner | None = None, max_length: int | None = None, pos_tags: dict[str, list[str]] | None = None, tokens=plain_tokens) -> DataFrame:
-    """Cleans the text roles (with a list of parts of speech each, if given); roles cleaned away are NULL, all rows stay."""
+def process_roles(statements: DataFrame, cleaner: Cleaner | None = None, max_length: int | None = None, pos_tags: dict[str, list[str]] | None = None, tokens=None) -> DataFrame:
+    """tokens: an annotator's function from text to a token array, else the built-in one.  Cleans the text roles (with a list of parts of speech each, if given); roles cleaned away are NULL, all rows stay."""
     cleaner = cleaner or Cleaner()
-    clean = {r: F.nullif(shortened(cleaner.clean(tokens(F.col(r)), (pos_tags or {}).get(r)), max_length), F.lit("")).alias(r) for r in TEXT_ROLES if r in statements.columns}
+
+    def phrase(role: str) -> Column:
+        tags = (pos_tags or {}).get(role)
+        return cleaner.clean_text(F.col(role)) if tokens is None and tags is None else cleaner.clean((tokens or plain_tokens)(F.col(role)), tags)
+
+    clean = {r: F.nullif(shortened(phrase(r), max_length), F.lit("")).alias(r) for r in TEXT_ROLES if r in statements.columns}
     return statements.select(*[clean.get(c, F.col(c)) for c in statements.columns])

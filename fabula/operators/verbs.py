@@ -15,6 +15,38 @@ def lexicon(spark: SparkSession, entries: dict[str, list[str]]) -> DataFrame:
     return spark.createDataFrame([(v, i, c) for v, cs in entries.items() for i, c in enumerate(cs)], "verb string, pos int, candidate string")
 
 
+def lexicon_file(spark: SparkSession, path: str) -> DataFrame:
+    """Such a table from Parquet, or from CSV with a header."""
+    found = spark.read.parquet(path) if path.rstrip("/").endswith(".parquet") else spark.read.csv(path, header=True)
+    return found.select(F.col("verb").cast("string"), F.col("pos").cast("int"), F.col("candidate").cast("string"))
+
+
+def wordnet_lexicons(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Synonyms and antonyms of verbs from a WordNet database folder (index.verb and data.verb, format wndb(5)).
+
+    Synonyms are the words of all of a verb's synsets in order; antonyms those that its own words point to.
+    The two files are read by the driver (about 4 MB); underscores become spaces."""
+    lines = {n: [r[0] for r in spark.read.text(f"{folder}/{n}.verb").collect() if not r[0].startswith("  ")] for n in ("index", "data")}
+    words: dict[str, list[str]] = {}
+    opposites: dict[tuple[str, int], list[tuple[str, int]]] = {}
+    for line in lines["data"]:
+        f = line.split(" | ")[0].split()
+        n = int(f[3], 16)
+        words[f[0]] = [w.replace("_", " ") for w in f[4 : 4 + 2 * n : 2]]
+        at = 4 + 2 * n
+        for k in range(int(f[at])):
+            kind, to, pos, ends = f[at + 1 + 4 * k : at + 5 + 4 * k]
+            if kind == "!" and pos == "v":
+                opposites.setdefault((f[0], int(ends[:2], 16)), []).append((to, int(ends[2:], 16)))
+    same, other = {}, {}
+    for line in lines["index"]:
+        f = line.split()
+        verb, synsets = f[0].replace("_", " "), f[6 + int(f[3]) :]
+        same[verb] = [w for s in synsets for w in words[s]]
+        other[verb] = [words[to][i - 1] for s in synsets for nth, w in enumerate(words[s], 1) if w.lower() == verb for to, i in opposites.get((s, nth), [])]
+    return lexicon(spark, same), lexicon(spark, other)
+
+
 def most_frequent(candidates: DataFrame, counts: DataFrame, key: str) -> DataFrame:
     """key and its candidate of the largest count, the first of equals; candidates never seen don't count."""
     seen = candidates.join(counts, candidates["candidate"] == counts["value"])

@@ -5,14 +5,15 @@ A query is registered with its SQL (None where SQL cannot express it); both name
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fabula.functions import text as X
-from fabula.functions.tokens import Cleaner, plain_tokens, shortened
+from fabula.functions.tokens import Cleaner, shortened
 from fabula.operators import clustering, counting, embeddings, entities, graph, sentences, srl, statements, svo, verbs
 from fabula.operators.model import NarrativeModel
 
@@ -96,7 +97,7 @@ def sentence_word_filter(spark, sf):
 
 @query("sentence_batches_fixed", f"WITH {_SENTS} SELECT doc_id, sent_id, CAST(floor((row_number() OVER (PARTITION BY doc_id ORDER BY sent_id) - 1) / 8) AS INT) AS batch_id FROM sents")
 def sentence_batches_fixed(spark, sf):
-    return sentences.batches_fixed(sents(spark, sf), 8).select("doc_id", "sent_id", "batch_id")
+    return sentences.batches_fixed(sents(spark, sf), 8, whole=True).select("doc_id", "sent_id", "batch_id")
 
 
 @query(
@@ -152,17 +153,17 @@ _STOP = ["the", "of", "and", "le", "la", "et"]
 
 @query("clean_phrase", _clean_sql([], None))
 def clean_phrase(spark, sf):
-    return sents(spark, sf).select("doc_id", "sent_id", Cleaner().clean(plain_tokens(F.col("sentence"))).alias("phrase"))
+    return sents(spark, sf).select("doc_id", "sent_id", Cleaner().clean_text(F.col("sentence")).alias("phrase"))
 
 
 @query("clean_phrase_stopwords", _clean_sql(_STOP, None))
 def clean_phrase_stopwords(spark, sf):
-    return sents(spark, sf).select("doc_id", "sent_id", Cleaner(stop_words=_STOP).clean(plain_tokens(F.col("sentence"))).alias("phrase"))
+    return sents(spark, sf).select("doc_id", "sent_id", Cleaner(stop_words=_STOP).clean_text(F.col("sentence")).alias("phrase"))
 
 
 @query("clean_phrase_maxlen", _clean_sql(_STOP, 50))
 def clean_phrase_maxlen(spark, sf):
-    return sents(spark, sf).select("doc_id", "sent_id", shortened(Cleaner(stop_words=_STOP).clean(plain_tokens(F.col("sentence"))), 50).alias("phrase"))
+    return sents(spark, sf).select("doc_id", "sent_id", shortened(Cleaner(stop_words=_STOP).clean_text(F.col("sentence")), 50).alias("phrase"))
 
 
 @query("statements_lite", f"WITH {_STMTS} SELECT doc_id, sent_id, arg0, verb, neg, arg1 FROM stmts")
@@ -319,100 +320,161 @@ def largest_component(spark, sf):
     return spark.createDataFrame(list(g.nodes.items()), "id string, value int")
 
 
-# Parses of fixed sentences: index, text, part of speech, label, head; then the noun chunks by first token.
-_PARSES = {
-    "F1": ("Taxes/NOUN/nsubj/1 kill/VERB/ROOT/1 jobs/NOUN/dobj/1 and/CCONJ/cc/1 hinder/VERB/conj/1 innovation/NOUN/dobj/4 ./PUNCT/punct/1", {0: "Taxes", 2: "jobs", 5: "innovation"}),
-    "F2": ("Jobs/NOUN/nsubjpass/2 were/AUX/auxpass/2 destroyed/VERB/ROOT/2 by/ADP/agent/2 taxes/NOUN/pobj/3 and/CCONJ/cc/4 tariffs/NOUN/conj/4 ./PUNCT/punct/2", {0: "Jobs", 4: "taxes", 6: "tariffs"}),
-    "F3": ("The/DET/det/1 senator/NOUN/nsubj/5 who/PRON/nsubj/3 opposed/VERB/relcl/1 reform/NOUN/dobj/3 won/VERB/ROOT/5 votes/NOUN/dobj/5 ./PUNCT/punct/5", {1: "The senator", 2: "who", 4: "reform", 6: "votes"}),
-    "F4": ("We/PRON/nsubj/3 do/AUX/aux/3 not/PART/neg/3 support/VERB/ROOT/3 tariffs/NOUN/dobj/3 ./PUNCT/punct/3", {0: "We", 4: "tariffs"}),
-    "F6": ("Taxes/NOUN/nsubj/5 ,/PUNCT/punct/0 tariffs/NOUN/conj/0 and/CCONJ/cc/2 quotas/NOUN/conj/2 kill/VERB/ROOT/5 jobs/NOUN/dobj/5", {0: "Taxes", 2: "tariffs", 4: "quotas", 6: "jobs"}),
-}
-_PARSES_FR = {
-    "F5": ("Le/DET/det/1 gouvernement/NOUN/nsubj/3 ne/ADV/advmod/3 soutient/VERB/ROOT/3 pas/ADV/advmod/3 les/DET/det/6 taxes/NOUN/obj/3", {1: "Le gouvernement", 6: "les taxes"}),
-    "F7": ("Les/DET/det/1 taxes/NOUN/nsubj/7 que/PRON/obj/5 le/DET/det/4 gouvernement/NOUN/nsubj/5 soutient/VERB/acl:relcl/1 ne/ADV/advmod/7 tuent/VERB/ROOT/7 pas/ADV/advmod/7 emplois/NOUN/obj/7", {1: "Les taxes", 2: "que", 4: "le gouvernement", 9: "emplois"}),
-    "F8": ("Les/DET/det/1 emplois/NOUN/nsubj:pass/3 sont/AUX/aux:pass/3 détruits/VERB/ROOT/3 par/ADP/case/5 taxes/NOUN/obl:agent/3", {1: "Les emplois", 5: "taxes"}),
-}
-_TOKENS = "i int, text string, pos string, dep string, head int, chunk string, anc array<int>"
+# Parses of all documents by rule, as no parser is at hand: each sentence is cut into clauses of eight words, and the
+# length of a clause's first word chooses a pattern (part of speech, label, head; heads and places within the clause).
+# Clauses of fewer words have no structure.  A pattern's chunks are pairs of (head of the chunk, its first word).
+_CLAUSE = 8
+_PATTERNS = [
+    ("DET det 1, NOUN nsubj 3, PART neg 3, VERB ROOT 3, DET det 5, NOUN dobj 3, CCONJ cc 5, NOUN conj 5", {1: 0, 5: 4, 7: 7}),
+    ("NOUN nsubjpass 2, AUX auxpass 2, VERB ROOT 2, ADP agent 2, NOUN pobj 3, CCONJ cc 4, NOUN conj 4, PART neg 2", {0: 0, 4: 4}),
+    ("NOUN nsubj 4, PRON nsubj 2, VERB relcl 0, NOUN dobj 2, VERB ROOT 4, NOUN dobj 4, VERB conj 4, NOUN dobj 6", {0: 0, 7: 7}),
+    ("NOUN nsubj 6, PUNCT punct 0, NOUN conj 0, CCONJ cc 2, NOUN conj 2, PART neg 6, VERB ROOT 6, NOUN dobj 6", {0: 0, 2: 2, 4: 3}),
+]
+_PATTERNS_FR = [
+    ("DET det 1, NOUN nsubj 3, ADV advmod 3, VERB ROOT 3, DET det 5, NOUN obj 3, CCONJ cc 5, NOUN conj 5", {1: 0, 5: 4, 7: 7}),
+    ("NOUN nsubj:pass 2, AUX aux:pass 2, VERB ROOT 2, ADP case 4, NOUN obl:agent 2, CCONJ cc 4, NOUN conj 4, ADV advmod 2", {0: 0, 4: 4}),
+    ("NOUN nsubj 5, PRON obj 3, NOUN nsubj 3, VERB acl:relcl 0, ADV advmod 5, VERB ROOT 5, NOUN obj 5, PUNCT punct 5", {0: 0, 2: 2, 6: 6}),
+    ("NOUN nsubj 6, PRON nsubj 2, VERB acl:relcl 0, NOUN obj 2, CCONJ cc 3, NOUN conj 3, VERB ROOT 6, NOUN obj 6", {0: 0, 3: 3}),
+]
+#: Words of the test corpus that take the places of negations and relative pronouns, so that these rules have work.
+_ODD = {"negations": ("the", "of", "la", "der", "que"), "subject_pronouns": ("and", "to", "de", "die"), "object_pronouns": ("in", "et", "y")}
+_ENGLISH, _FRENCH = (dataclasses.replace(r, **_ODD) for r in (svo.ENGLISH, svo.FRENCH))
+
+
+def _cells(patterns: list[tuple[str, dict]]) -> list[list[tuple]]:
+    """(part of speech, label, head, first word of the chunk or None, places of the token and all above it) by pattern and place."""
+    out = []
+    for text, chunks in patterns:
+        rows = [c.split(" ") for c in text.split(", ")]
+        heads = [int(r[2]) for r in rows]
+
+        def above(i: int, heads=heads) -> list[int]:
+            return [i] if heads[i] == i else [i, *above(heads[i])]
 
+        out.append([(r[0], r[1], heads[i], chunks.get(i), above(i)) for i, r in enumerate(rows)])
+    return out
 
-def parsed(spark: SparkSession, french: bool = False) -> DataFrame:
-    """s, tokens of the fixed sentences."""
-    rows = []
-    for name, (line, chunks) in (_PARSES_FR if french else _PARSES).items():
-        toks = [t.rsplit("/", 3) for t in line.split(" ")]
-        up = [int(t[3]) for t in toks]
 
-        def path(i: int, up=up) -> list[int]:
-            return [i] if up[i] == i else [i, *path(up[i])]
+def clauses(spark: SparkSession, sf: str) -> DataFrame:
+    """doc_id, sent_id, clause, w: the words of all documents' sentences, eight at a time."""
+    w = sents(spark, sf).select("doc_id", "sent_id", X.words(F.col("sentence")).alias("w")).where("size(w) > 0")
+    return w.select("doc_id", "sent_id", F.posexplode(F.expr(f"transform(sequence(0, size(w) - 1, {_CLAUSE}), i -> slice(w, i + 1, {_CLAUSE}))")).alias("clause", "w"))
 
-        rows.append((name, [(i, t[0], t[1], t[2], up[i], chunks.get(i), path(i)) for i, t in enumerate(toks)]))
-    return spark.createDataFrame(rows, f"s string, tokens array<struct<{_TOKENS.replace(' ', ':').replace(',:', ', ')}>>")
 
+def parsed(spark: SparkSession, sf: str, french: bool = False) -> DataFrame:
+    """doc_id, sent_id, clause, tokens."""
+    cells = _cells(_PATTERNS_FR if french else _PATTERNS)
+    constant = lambda i: F.array(*[F.array(*[F.lit(c[i]) for c in row]) for row in cells])
+    anc = F.array(*[F.array(*[F.array(*map(F.lit, c[4])) for c in row]) for row in cells])
+    kind = F.pmod(F.length(F.get("w", F.lit(0))), F.lit(len(cells)))
 
-def _svo_sql(rows: list[tuple]) -> str:
-    out = [tuple("NULL" if x is None else "true" if x is True else f"'{x}'" for x in r) for r in rows]
-    return "SELECT s, arg0, CAST(neg AS BOOLEAN) AS neg, verb, arg1 FROM (VALUES " + ", ".join(f"({', '.join(r)})" for r in out) + ") v(s, arg0, neg, verb, arg1)"
+    def token(word: Column, i: Column) -> Column:
+        at = lambda table: F.get(F.get(table, F.col("kind")), i)
+        first = at(constant(3).cast("array<array<int>>"))
+        known = F.size("w") == _CLAUSE
+        return F.struct(
+            i.alias("i"), word.alias("text"), F.when(known, at(constant(0))).otherwise("X").alias("pos"), F.when(known, at(constant(1))).otherwise("dep").alias("dep"),
+            F.when(known, at(constant(2))).otherwise(i).alias("head"), F.when(known & first.isNotNull(), F.array_join(F.slice("w", first + 1, i - first + 1), " ")).alias("chunk"),
+            F.when(known, at(anc)).otherwise(F.array(i)).alias("anc"),
+        )
 
+    return clauses(spark, sf).withColumn("kind", kind).select("doc_id", "sent_id", "clause", F.transform("w", token).alias("tokens"))
 
-_EN = [
-    ("F1", "Taxes", None, "kill", "jobs"), ("F2", "taxes", None, "destroyed", "Jobs"), ("F2", "tariffs", None, "destroyed", "Jobs"), ("F3", "The senator", None, "opposed", "reform"),
-    ("F3", "The senator", None, "won", "votes"), ("F4", "We", True, "support", "tariffs"), ("F6", "Taxes", None, "kill", "jobs"), ("F6", "tariffs", None, "kill", "jobs"), ("F6", "quotas", None, "kill", "jobs"),
-]
-_FR = [("F5", "Le gouvernement", True, "soutient", "les taxes"), ("F7", "le gouvernement", None, "soutient", "Les taxes"), ("F7", "Les taxes", True, "tuent", "emplois"), ("F8", "taxes", None, "détruits", "Les emplois")]
+
+_CLAUSES = _SENTS + f""", sw AS (SELECT doc_id, sent_id, {_WORDS.format("sentence")} AS w FROM sents), cut AS (
+  SELECT doc_id, sent_id, c AS clause, w[{_CLAUSE} * c + 1:{_CLAUSE} * c + {_CLAUSE}] AS w FROM (SELECT doc_id, sent_id, w, unnest(range((len(w) + {_CLAUSE - 1}) // {_CLAUSE})) AS c FROM sw)
+)"""
+
+
+def _svo_sql(patterns: list[tuple[str, dict]], rules: svo.Rules, only_triplets: bool = True) -> str:
+    """The rules as joins of tokens with their clause's other tokens; ancestors by recursion over the patterns."""
+    rows = [(t, k, *cell[:4]) for t, row in enumerate(_cells(patterns)) for k, cell in enumerate(row)]
+    cells = ", ".join("({}, {}, '{}', '{}', {}, {})".format(*["NULL" if x is None else x for x in r]) for r in rows)
+    words = lambda found: _in(list(found) or [""])
+    side = lambda name, found, pronouns: f"""{name}_found AS (
+  SELECT v.doc_id, v.sent_id, v.clause, v.t, v.k AS v, CASE WHEN x.text IN {words(pronouns)} AND v.head <> v.k THEN v.head ELSE x.k END AS k FROM verbs v JOIN ({found}) x ON x.doc_id = v.doc_id AND x.sent_id = v.sent_id AND x.clause = v.clause AND x.verb = v.k
+), {name}_all AS (
+  SELECT doc_id, sent_id, clause, v, k FROM {name}_found
+  UNION ALL
+  SELECT f.doc_id, f.sent_id, f.clause, f.v, c.k FROM {name}_found f JOIN anc a ON a.t = f.t AND a.up = f.k JOIN cells c ON c.t = a.t AND c.k = a.k AND c.dep = 'conj'
+  WHERE NOT EXISTS (SELECT 1 FROM anc b JOIN cells d ON d.t = b.t AND d.k = b.k AND d.pos = 'VERB' WHERE b.t = f.t AND b.up = f.k)
+), {name} AS (
+  SELECT a.doc_id, a.sent_id, a.clause, a.v, coalesce(nullif(t.chunk, ''), t.text) AS name FROM {name}_all a JOIN tok t ON t.doc_id = a.doc_id AND t.sent_id = a.sent_id AND t.clause = a.clause AND t.k = a.k
+)"""
+    direct = lambda labels: f"SELECT doc_id, sent_id, clause, head AS verb, k, text FROM tok WHERE dep IN {words(labels)} AND head <> k"
+    subjects = direct(rules.subjects)
+    if rules.agent:
+        subjects += f" UNION ALL SELECT p.doc_id, p.sent_id, p.clause, a.head, p.k, p.text FROM tok p JOIN tok a ON a.doc_id = p.doc_id AND a.sent_id = p.sent_id AND a.clause = p.clause AND a.k = p.head WHERE p.dep = 'pobj' AND a.dep = '{rules.agent}'"
+    join = "JOIN" if only_triplets else "LEFT JOIN"
+    on = lambda n: f"{n}.doc_id = v.doc_id AND {n}.sent_id = v.sent_id AND {n}.clause = v.clause AND {n}.v = v.k"
+    return f"""WITH RECURSIVE {_CLAUSES}, cells(t, k, pos, dep, head, first) AS (VALUES {cells}), anc AS (
+  SELECT t, k, k AS up FROM cells UNION SELECT a.t, a.k, c.head FROM anc a JOIN cells c ON c.t = a.t AND c.k = a.up
+), tok AS MATERIALIZED (
+  SELECT doc_id, sent_id, clause, c.t, c.k, c.pos, c.dep, c.head, w[c.k + 1] AS text, CASE WHEN c.first IS NOT NULL THEN array_to_string(w[c.first + 1:c.k + 1], ' ') END AS chunk
+  FROM cut JOIN cells c ON c.t = length(w[1]) % {len(patterns)} WHERE len(w) = {_CLAUSE}
+), verbs AS (SELECT * FROM tok WHERE pos = 'VERB'), {side("subj", subjects, rules.subject_pronouns)}, {side("obj", direct(rules.objects), rules.object_pronouns)}, negated AS (
+  SELECT DISTINCT doc_id, sent_id, clause, head AS v FROM tok WHERE head <> k AND dep IN {words(rules.negation_labels)} AND text IN {words(rules.negations)}
+)
+SELECT v.doc_id, v.sent_id, v.clause, subj.name AS arg0, CASE WHEN n.v IS NOT NULL THEN true END AS neg, v.text AS verb, obj.name AS arg1
+FROM verbs v {join} subj ON {on("subj")} {join} obj ON {on("obj")} LEFT JOIN negated n ON {on("n")}"""
 
 
-def _svos(spark, french=False, **options):
-    return svo.extract_svos(parsed(spark, french), ["s"], **options).select("s", "arg0", "neg", "verb", "arg1")
+def _svos(spark, sf, french=False, **options):
+    return svo.extract_svos(parsed(spark, sf, french), ["doc_id", "sent_id", "clause"], **options).select("doc_id", "sent_id", "clause", "arg0", "neg", "verb", "arg1")
 
 
-@query("svo_en", _svo_sql(_EN))
+@query("svo_en", _svo_sql(_PATTERNS, _ENGLISH))
 def svo_en(spark, sf):
-    return _svos(spark)
+    return _svos(spark, sf, language=_ENGLISH)
 
 
-@query("svo_en_incomplete", _svo_sql([*_EN, ("F1", None, None, "hinder", "innovation")]))
+@query("svo_en_incomplete", _svo_sql(_PATTERNS, _ENGLISH, only_triplets=False))
 def svo_en_incomplete(spark, sf):
-    return _svos(spark, only_triplets=False)
+    return _svos(spark, sf, language=_ENGLISH, only_triplets=False)
 
 
-@query("svo_en_compat", _svo_sql([(s, a, None, v, b) for s, a, _, v, b in _EN]))
+@query("svo_en_compat", _svo_sql(_PATTERNS, svo.ENGLISH_COMPAT))
 def svo_en_compat(spark, sf):
-    return _svos(spark, language=svo.ENGLISH_COMPAT)
+    return _svos(spark, sf, language=svo.ENGLISH_COMPAT)
 
 
-@query("svo_fr", _svo_sql(_FR))
+@query("svo_fr", _svo_sql(_PATTERNS_FR, _FRENCH))
 def svo_fr(spark, sf):
-    return _svos(spark, True, language="french")
+    return _svos(spark, sf, True, language=_FRENCH)
 
 
-_SRL = [
-    ("R-1", "Taxes do not kill jobs", ["B-ARG0 O B-ARGM-NEG B-V B-ARG1"]),
-    ("R-2", "Taxes do not kill jobs", ["O O O B-V B-ARG1"]),
-    ("R-3", "They may give us time", ["B-ARG0 B-ARGM-MOD B-V B-ARG2 B-ARG1"]),
-    ("R-4", "Reform , he said , failed", ["B-ARG1 O B-ARG0 B-V O C-ARG1"]),
-    ("R-5", "", []),
+# Role labels of all documents by rule: the same clauses, with one or two frames of tags each, cut to the clause's length.
+_FRAMES = [
+    ["B-ARG0 I-ARG0 B-ARGM-MOD B-ARGM-NEG B-V B-ARG1 I-ARG1 B-ARG2", "O O O O O B-ARG0 B-V B-ARG1"],
+    ["B-ARG1 O B-ARG0 B-V O C-ARG1 O O"],
+    ["O B-ARGM-NEG B-V B-ARG1 O O B-ARG2 I-ARG2", "B-ARG0 B-V O B-ARG2 O O O O"],
 ]
-_SRL_SQL = """WITH p(s, words, tags) AS (VALUES {}), z AS (SELECT s, list_zip(words, tags) AS z, tags FROM p)
-SELECT s, {}, CASE WHEN len(list_filter(tags, lambda t: contains(t, 'B-ARGM-NEG'))) > 0 THEN true END AS neg FROM z""".format(
-    ", ".join(f"('{s}', string_split('{w}', ' '), string_split('{t[0]}', ' '))" for s, w, t in _SRL if t),
-    ", ".join(f"nullif(array_to_string(list_transform(list_filter(z, lambda e: contains(e[2], '{n}')), lambda e: e[1]), ' '), '') AS {r}" for r, n in (("arg0", "ARG0"), ("verb", "B-V"), ("mod", "B-ARGM-MOD"), ("arg1", "ARG1"), ("arg2", "ARG2"))),
+_FRAME_ROWS = ", ".join(f"({t}, {n}, string_split('{f}', ' '))" for t, fs in enumerate(_FRAMES) for n, f in enumerate(fs))
+_SRL_SQL = f"""WITH {_CLAUSES}, frames(t, stmt_id, tags) AS (VALUES {_FRAME_ROWS}), framed AS (
+  SELECT doc_id, sent_id, clause, stmt_id, w, tags[1:len(w)] AS tags FROM cut JOIN frames ON t = length(w[1]) % {len(_FRAMES)}
+), z AS (SELECT doc_id, sent_id, clause, stmt_id, list_zip(w, tags) AS z, tags FROM framed)
+SELECT doc_id, sent_id, clause, CAST(stmt_id AS INT) AS stmt_id, {{}}, CASE WHEN len(list_filter(tags, lambda t: contains(t, 'B-ARGM-NEG'))) > 0 THEN true END AS neg FROM z""".format(
+    ", ".join(f"nullif(array_to_string(list_transform(list_filter(z, lambda e: contains(e[2], '{n}')), lambda e: e[1]), ' '), '') AS {r}" for r, n in (("arg0", "ARG0"), ("verb", "B-V"), ("mod", "B-ARGM-MOD"), ("arg1", "ARG1"), ("arg2", "ARG2")))
 )
 
 
-def _roles(spark, only_triplets=False):
-    rows = [(s, (w.split(), [(t.split(),) for t in tags])) for s, w, tags in _SRL]
-    parses = spark.createDataFrame(rows, "s string, parse struct<words: array<string>, verbs: array<struct<tags: array<string>>>>")
-    return srl.extract_roles(parses, ["s"], only_triplets=only_triplets).select("s", "arg0", "verb", "mod", "arg1", "arg2", "neg")
+def _roles(spark, sf, only_triplets=False):
+    frames = F.array(*[F.array(*[F.array(*map(F.lit, f.split(" "))) for f in fs]) for fs in _FRAMES])
+    w = F.col("w")
+    chosen = F.get(frames, F.pmod(F.length(F.get(w, F.lit(0))), F.lit(len(_FRAMES))))
+    found = F.transform(chosen, lambda tags: F.struct(F.slice(tags, F.lit(1), F.size(w)).alias("tags")))
+    parses = clauses(spark, sf).select("doc_id", "sent_id", "clause", F.struct(w.alias("words"), found.alias("verbs")).alias("parse"))
+    return srl.extract_roles(parses, ["doc_id", "sent_id", "clause"], only_triplets=only_triplets).select("doc_id", "sent_id", "clause", "stmt_id", "arg0", "verb", "mod", "arg1", "arg2", "neg")
 
 
 @query("srl_roles", _SRL_SQL)
 def srl_roles(spark, sf):
-    return _roles(spark)
+    return _roles(spark, sf)
 
 
 @query("srl_triplets", f"SELECT * FROM ({_SRL_SQL}) WHERE arg0 IS NOT NULL AND verb IS NOT NULL AND (arg1 IS NOT NULL OR arg2 IS NOT NULL)")
 def srl_triplets(spark, sf):
-    return _roles(spark, True)
+    return _roles(spark, sf, True)
 
 
 def vectors(spark, sf):

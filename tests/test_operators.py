@@ -8,9 +8,9 @@ from fabula.functions import text as X
 from fabula.functions.tokens import Cleaner, shortened
 from fabula.operators import clustering, counting, density, embeddings, entities, graph, srl, statements, svo, verbs
 from fabula.operators.model import NarrativeModel
-from fabula.plans.queries import parsed
 from fabula.sources import files, reports
 from fabula.streaming import statements as streaming
+from golden import EN, FR, SRL, parsed
 
 HOUSE, NICE = "This is a house", "It is a nice house"
 
@@ -75,6 +75,28 @@ def test_cleaning(spark, options, want):
     assert got.select(shortened(F.col("p"), 5)).first()[0] == ""
 
 
+def svos(spark, french=False, **options):
+    got = svo.extract_svos(parsed(spark, french), ["s"], **options).select("s", "arg0", "neg", "verb", "arg1")
+    return sorted(map(tuple, got.collect()), key=repr)
+
+
+def test_golden_svos(spark):
+    assert svos(spark) == sorted(EN, key=repr)
+    assert svos(spark, only_triplets=False) == sorted([*EN, ("F1", None, None, "hinder", "innovation")], key=repr)
+    assert svos(spark, language=svo.ENGLISH_COMPAT) == sorted([(s, a, None, v, b) for s, a, _, v, b in EN], key=repr)
+    assert svos(spark, True, language="french") == sorted(FR, key=repr)
+
+
+def test_golden_roles(spark):
+    rows = [(s, (w.split(), [(t.split(),) for t in tags])) for s, w, tags in SRL]
+    parses = spark.createDataFrame(rows, "s string, parse struct<words: array<string>, verbs: array<struct<tags: array<string>>>>")
+    got = {r["s"]: (r["arg0"], r["verb"], r["mod"], r["arg1"], r["arg2"], r["neg"]) for r in srl.extract_roles(parses, ["s"]).collect()}
+    assert got == {
+        "R-1": ("Taxes", "kill", None, "jobs", None, True), "R-2": (None, "kill", None, "jobs", None, None), "R-3": ("They", "give", "may", "time", "us", None), "R-4": ("he", "said", None, "Reform failed", None, None),
+    }
+    assert {r["s"] for r in srl.extract_roles(parses, ["s"], only_triplets=True).collect()} == {"R-1", "R-3", "R-4"}
+
+
 def test_custom_svo_and_unknown_language(spark):
     got = svo.extract_svos(parsed(spark), ["s"], language="german", custom=lambda tokens: [(tokens[0]["text"], False, "do", "")]).where("s = 'F1'").collect()
     assert [(r["arg0"], r["neg"], r["verb"], r["arg1"]) for r in got] == [("Taxes", None, "do", None)]
