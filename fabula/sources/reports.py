@@ -7,11 +7,11 @@ import json
 import logging
 from pathlib import Path
 
-from pyspark.ml.clustering import KMeansModel
 from pyspark.sql import DataFrame
 
 from fabula.operators.clustering import top_phrases
 from fabula.operators.graph import Graph
+from fabula.operators.model import NarrativeModel
 
 
 def clusters_to_txt(vocabulary: DataFrame, path: str, topn: int = 10, add_frequency_info: bool = True) -> None:
@@ -23,15 +23,14 @@ def clusters_to_txt(vocabulary: DataFrame, path: str, topn: int = 10, add_freque
     Path(path).write_text("".join(f"Cluster {c}\n{', '.join(p)}\n\n" for c, p in by.items()), encoding="utf-8")
 
 
-def save_model(model, path: str) -> None:
-    """The chosen k-means model and the label and vocabulary tables of a fitted NarrativeModel."""
-    model.grid.models[model.grid.chosen].write().overwrite().save(f"{path}/model")
-    model.labels[model.grid.chosen].write.mode("overwrite").parquet(f"{path}/labels")
-    model.vocabularies[model.grid.chosen].write.mode("overwrite").parquet(f"{path}/vocabulary")
+def save_model(model: NarrativeModel, path: str, spark) -> None:
+    """A whole NarrativeModel, fitted or not."""
+    model.save(path, spark)
 
 
-def load_model(spark, path: str) -> tuple[KMeansModel, DataFrame, DataFrame]:
-    return KMeansModel.load(f"{path}/model"), spark.read.parquet(f"{path}/labels"), spark.read.parquet(f"{path}/vocabulary")
+def load_model(spark, path: str, backend=None) -> NarrativeModel:
+    """A saved model that predicts."""
+    return NarrativeModel.load(spark, path, backend)
 
 
 _PAGE = """<!DOCTYPE html><html><head><meta charset="utf-8"><title>Narratives</title></head><body>

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fabula.functions import text as X
 from fabula.functions.tokens import Cleaner, shortened
-from fabula.operators import clustering, counting, density, embeddings, entities, graph, srl, statements, svo, verbs
+from fabula.operators import clustering, counting, density, embeddings, entities, graph, manifold, srl, statements, svo, verbs
 from fabula.operators.model import NarrativeModel
 from fabula.sources import files, reports
 from fabula.streaming import statements as streaming
@@ -201,11 +201,100 @@ def test_model(spark, tmp_path):
         model.inspect_cluster("none")
     reports.clusters_to_txt(model.vocabularies[0], str(tmp_path / "c.txt"))
     assert "duty (2), tariff (1)" in (tmp_path / "c.txt").read_text()
-    reports.save_model(model, str(tmp_path / "m"))
-    assert reports.load_model(spark, str(tmp_path / "m"))[1].count() == 2
+    reports.save_model(model, str(tmp_path / "m"), spark)
+    again = reports.load_model(spark, str(tmp_path / "m"))
+    assert sorted(map(tuple, again.predict(s).collect()), key=repr) == sorted(map(tuple, model.predict(s).collect()), key=repr)
+    assert again.selection_metric(spark).count() == 2 and {r["phrase"] for r in again.inspect_cluster("duty").collect()} == {"duty", "tariff"}
     assert model.selection_metric(spark).count() == 2
 
 
+def blobs(spark, dims=12, each=40):
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(c, 0.3, (each, dims)) for c in (0, 3, 6)])
+    return x, spark.createDataFrame([(f"w{i}", v.tolist()) for i, v in enumerate(x)], "token string, vec array<double>")
+
+
+@pytest.mark.parametrize("options", [{"clustering": "hdbscan", "pca": False}, {"clustering": "hdbscan", "umap": True}, {"clustering": "kmeans", "umap": True, "pca": False}])
+def test_saved_models_predict(spark, tmp_path, options):
+    """Density clusters and UMAP on three groups of words: fit, predict phrases known and new, save, load, predict the same."""
+    _, table = blobs(spark)
+    s = spark.createDataFrame([(f"w{i}", "do", f"w{(i * 7) % 110}") for i in range(110)], "arg0 string, verb string, arg1 string")
+    args = [{"min_cluster_size": 15, "min_samples": 5}] if options["clustering"] == "hdbscan" else [{"n_clusters": 3, "random_state": 1}]
+    model = NarrativeModel(roles_considered=["arg0", "verb", "arg1"], roles_with_known_entities=[], roles_with_unknown_entities=["arg0", "arg1"], backend=embeddings.WordVectors(table, normalize=False), **options)
+    model.fit(s, pca_args={"n_components": 5}, cluster_args=args, umap_args={"n_epochs": 150})
+    new = spark.createDataFrame([(f"w{i}", "do", None) for i in range(120)], s.schema)
+    named = {r["phrase"]: r["label"] for r in model._unknown(new.selectExpr("arg0 as phrase"), None).collect()}
+    groups = [{named.get(f"w{i}") for i in range(a, a + 40)} - {None} for a in (0, 40, 80)]
+    assert all(len(g) == 1 for g in groups) and len(set.union(*groups)) == 3 and len(named) > 100
+    model.save(str(tmp_path / "m"), spark)
+    again = NarrativeModel.load(spark, str(tmp_path / "m"))
+    assert sorted(map(tuple, again.predict(new).collect()), key=repr) == sorted(map(tuple, model.predict(new).collect()), key=repr)
+
+
+def test_umap():
+    a, b = manifold.curve(0.1)
+    assert (a, b) == pytest.approx((1.577, 0.895), abs=0.01)  # as published for a least distance of 0.1
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(c, 0.3, (60, 12)) for c in (0, 3, 6)])
+    fitted = manifold.fit(x, n_epochs=200)
+    label = np.repeat([0, 1, 2], 60)
+    at, _ = manifold.nearest(fitted.places, fitted.places, 6)
+    assert (label[at[:, 1:]] == label[:, None]).mean() > 0.98
+    assert np.allclose(fitted.transform(x), fitted.places)
+    at, _ = manifold.nearest(fitted.transform(x + 0.05), fitted.places, 1)
+    assert (label[at[:, 0]] == label).mean() > 0.98
+    assert np.allclose(manifold.fit(x, n_epochs=20).places, manifold.fit(x, n_epochs=20).places)
+    assert manifold.fit(np.ones((40, 3)), n_epochs=5).places.shape == (40, 2) and manifold.fit(x[:1]).places.shape == (1, 2)
+    with pytest.raises(ValueError):
+        manifold.fit(np.zeros((manifold.MOST_POINTS + 1, 1)))
+
+
+def test_lexicon_files(spark, tmp_path):
+    spark.createDataFrame([("kill", 0, "destroy")], "verb string, pos int, candidate string").write.csv(str(tmp_path / "l"), header=True)
+    assert [tuple(r) for r in verbs.lexicon_file(spark, str(tmp_path / "l")).collect()] == [("kill", 0, "destroy")]
+    data = ["00000100 30 v 02 rise 0 go_up 0 002 ! 00000200 v 0101 @ 00000300 v 0000 01 + 02 00 | become higher", "00000200 30 v 01 fall 0 001 ! 00000100 v 0101 01 + 02 00 | become lower", "00000300 30 v 01 move 0 000 00 | move"]
+    index = ["go_up v 1 0 1 0 00000100", "rise v 2 2 ! @ 2 1 00000100 00000300", "fall v 1 1 ! 1 0 00000200", "move v 1 0 1 0 00000300"]
+    (tmp_path / "data.verb").write_text("  1 licence\n" + "\n".join(data) + "\n")
+    (tmp_path / "index.verb").write_text("  1 licence\n" + "\n".join(index) + "\n")
+    same, other = verbs.wordnet_lexicons(spark, str(tmp_path))
+    assert sorted(map(tuple, same.where("verb in ('rise', 'go up')").collect())) == [("go up", 0, "rise"), ("go up", 1, "go up"), ("rise", 0, "rise"), ("rise", 1, "go up"), ("rise", 2, "move")]
+    assert sorted(map(tuple, other.collect())) == [("fall", 0, "rise"), ("rise", 0, "fall")]
+
+
+def test_vector_files_and_kinds(spark, tmp_path):
+    (tmp_path / "v.txt").write_text("2 3\nno 1 0 0.5\nworld 0 1 -1e-1\n")
+    table = embeddings.read_vectors(spark, str(tmp_path / "v.txt"))
+    assert {r["token"]: r["vec"] for r in table.collect()} == {"no": [1.0, 0.0, 0.5], "world": [0.0, 1.0, -0.1]}
+    got = embeddings.embeddings("GensimPretrained", table, normalize=False).vectors(spark.createDataFrame([("no world",)], "phrase string")).first()["vec"]
+    assert got == pytest.approx([0.5, 0.5, 0.2])
+    with pytest.raises(ValueError):
+        embeddings.embeddings("GensimPretrained", table, sentences=table)
+
+
+def test_other_files(spark, tmp_path):
+    sents = spark.createDataFrame([(1, 0, 'Say "no", now.'), (1, 1, "Go")], "doc_id long, sent_id int, sentence string")
+    for fmt in ("parquet", "csv"):
+        files.save_sentences(sents, str(tmp_path / fmt), fmt)
+    assert sorted(r["sentence"] for r in spark.read.parquet(str(tmp_path / "parquet")).collect()) == sorted(r[0] for r in sents.select("sentence").collect())
+    assert sorted(r["sentence"] for r in spark.read.csv(str(tmp_path / "csv"), header=True, escape='"').collect()) == ["Go", 'Say "no", now.']
+    counts = spark.createDataFrame([("Paris", 3)], "value string, cnt long")
+    files.save_entities(counts, str(tmp_path / "e"))
+    assert [tuple(r) for r in files.load_entities(spark, str(tmp_path / "e")).collect()] == [("Paris", 3)]
+    (tmp_path / "s.json").write_text('["One here.", "Two"]')
+    assert [tuple(r) for r in files.load_data(spark, str(tmp_path / "s.json"), "sentences").collect()] == [(0, "One here."), (1, "Two")]
+    (tmp_path / "p.json").write_text('[{"words": ["a", "b"], "verbs": [{"tags": ["B-ARG0", "B-V"]}]}, {"words": [], "verbs": []}]')
+    parses = files.load_data(spark, str(tmp_path / "p.json"), "srl_res")
+    files.save_parses(parses, str(tmp_path / "q"))
+    assert parses.count() == 2 and spark.read.schema(parses.schema).json(str(tmp_path / "q")).where("size(words) = 2").first()["verbs"][0]["tags"] == ["B-ARG0", "B-V"]
+    with pytest.raises(ValueError):
+        files.load_data(spark, "x", "other")
+
+
+def test_labelled_entities_and_points(spark):
+    s = spark.createDataFrame([([("Paris", "GPE"), ("Monday", "DATE"), ("Paris", "GPE")],)], "ents array<struct<text: string, label: string>>")
+    assert [tuple(r) for r in counting.mine_entities(s, F.col("ents")).collect()] == [("Paris", 2)]
+
+
 @pytest.mark.parametrize("options", [{"clustering": "dynamic"}, {"roles_with_known_entities": ["verb"]}, {"assignment_to_known_entities": "x"}, {"roles_considered": ["arg0"]}])
 def test_model_refuses(options):
     with pytest.raises(ValueError):
