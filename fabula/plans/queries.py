@@ -16,6 +16,7 @@ from fabula.functions import text as X
 from fabula.functions.tokens import Cleaner, shortened
 from fabula.operators import clustering, counting, embeddings, entities, graph, sentences, srl, statements, svo, verbs
 from fabula.operators.model import NarrativeModel
+from fabula.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -458,23 +459,26 @@ SELECT doc_id, sent_id, clause, CAST(stmt_id AS INT) AS stmt_id, {{}}, CASE WHEN
 )
 
 
-def _roles(spark, sf, only_triplets=False):
+def _parses(spark, sf):
     frames = F.array(*[F.array(*[F.array(*map(F.lit, f.split(" "))) for f in fs]) for fs in _FRAMES])
     w = F.col("w")
     chosen = F.get(frames, F.pmod(F.length(F.get(w, F.lit(0))), F.lit(len(_FRAMES))))
     found = F.transform(chosen, lambda tags: F.struct(F.slice(tags, F.lit(1), F.size(w)).alias("tags")))
-    parses = clauses(spark, sf).select("doc_id", "sent_id", "clause", F.struct(w.alias("words"), found.alias("verbs")).alias("parse"))
+    return clauses(spark, sf).select("doc_id", "sent_id", "clause", F.struct(w.alias("words"), found.alias("verbs")).alias("parse"))
+
+
+def _roles_of(parses, only_triplets=False):
     return srl.extract_roles(parses, ["doc_id", "sent_id", "clause"], only_triplets=only_triplets).select("doc_id", "sent_id", "clause", "stmt_id", "arg0", "verb", "mod", "arg1", "arg2", "neg")
 
 
 @query("srl_roles", _SRL_SQL)
 def srl_roles(spark, sf):
-    return _roles(spark, sf)
+    return _roles_of(_parses(spark, sf))
 
 
 @query("srl_triplets", f"SELECT * FROM ({_SRL_SQL}) WHERE arg0 IS NOT NULL AND verb IS NOT NULL AND (arg1 IS NOT NULL OR arg2 IS NOT NULL)")
 def srl_triplets(spark, sf):
-    return _roles(spark, sf, True)
+    return _roles_of(_parses(spark, sf), True)
 
 
 def vectors(spark, sf):
@@ -569,6 +573,87 @@ def silhouette_exact(spark, sf):
     return spark.createDataFrame([(round(clustering.silhouette(vectors(spark, sf), cluster="label"), 4),)], "silhouette double")
 
 
+@query(
+    "inertia_knee",
+    f"""WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings), ks AS (SELECT unnest(range(1, 11)) AS k), own AS (SELECT k, label % k AS c, unnest(range(len(vec))) AS dim, unnest(vec) AS x FROM v, ks), y AS (
+  SELECT k, sum(x * x) - sum(s * s / n) AS y FROM (SELECT k, c, dim, sum(x * x) AS x2, sum(x) AS s, count(*) AS n FROM own GROUP BY k, c, dim) t, LATERAL (SELECT sqrt(t.x2) AS x) GROUP BY k
+), d AS (
+  SELECT k, 1 - (y - min(y) OVER ()) / (max(y) OVER () - min(y) OVER ()) - (k - 1) / 9.0 AS d FROM y
+), peaks AS (
+  SELECT k, d, coalesce(d >= lag(d) OVER (ORDER BY k) AND d > lead(d) OVER (ORDER BY k), false) AS peak FROM d
+), runs AS (
+  SELECT k, d, peak, sum(CAST(peak AS INT)) OVER (ORDER BY k) AS run FROM peaks
+), tops AS (
+  SELECT run, min(k) FILTER (peak) AS k, max(d) FILTER (peak) - 1 / 9.0 AS least FROM runs WHERE run > 0 GROUP BY run
+)
+SELECT CAST(min(t.k) AS DOUBLE) AS knee FROM tops t JOIN runs r ON r.run = t.run AND NOT r.peak AND r.d < t.least""",
+)
+def inertia_knee(spark, sf):
+    ks, found = list(range(1, 11)), []
+    for k in ks:
+        own = vectors(spark, sf).withColumn("cluster", F.expr(f"label % {k}"))
+        mean = own.select("cluster", F.posexplode("vec").alias("dim", "x")).groupBy("cluster", "dim").agg(F.avg("x").alias("x"))
+        centre = mean.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias("centre"))
+        found.append(clustering.inertia(own, centre).first()["inertia"])
+    return spark.createDataFrame([(clustering.knee(ks, found),)], "knee double")
+
+
+@query("phrases_with_vectors", f"{_WORD_COUNTS}, p AS (SELECT DISTINCT text AS phrase FROM conversations), tok AS (SELECT phrase, unnest({_WORDS.format('phrase')}) AS token FROM p) SELECT DISTINCT phrase FROM tok JOIN counts ON token = value")
+def phrases_with_vectors(spark, sf):
+    backend = embeddings.WordVectors(_word_table(spark, sf))
+    return backend.vectors(table(spark, sf, "conversations").select(F.col("text").alias("phrase"))).where("vec is not null").select("phrase")
+
+
+@query(
+    "predict_by_centres",
+    f"""WITH {_MATCH}, wc AS (SELECT w AS value FROM (SELECT DISTINCT unnest({_WORDS.format("sentence")}) AS w FROM sents)), {_VEC}, rest AS (
+  SELECT value AS phrase, cnt FROM counts ANTI JOIN matched ON value = phrase
+), tok AS (SELECT phrase, unnest({_WORDS.format("phrase")}) AS token FROM rest), m AS (
+  SELECT phrase, dim, avg(x) AS x FROM tok JOIN wc ON token = value JOIN flat ON flat.vec_id = (length(token) * 31 + unicode(token)) % 500 GROUP BY phrase, dim
+), unit AS (
+  SELECT phrase, list(x / n ORDER BY dim) AS vec FROM m JOIN (SELECT phrase, sqrt(sum(x * x)) AS n FROM m GROUP BY phrase) USING (phrase) GROUP BY phrase
+), own AS (
+  SELECT phrase, arg_min(cluster, list_distance(unit.vec, centre)) AS cluster FROM unit, centres GROUP BY phrase
+), names AS (
+  SELECT cluster, phrase AS label FROM own JOIN rest USING (phrase) QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY cnt DESC, phrase) = 1
+), named AS (SELECT phrase, label FROM matched UNION ALL SELECT own.phrase, names.label FROM own JOIN names USING (cluster))
+SELECT s.doc_id, s.sent_id, a.label AS arg0, s.verb, s.neg, b.label AS arg1 FROM stmts s LEFT JOIN named a ON s.arg0 = a.phrase LEFT JOIN named b ON s.arg1 = b.phrase""",
+)
+def predict_by_centres(spark, sf):
+    s = stmts(spark, sf)
+    model = NarrativeModel(pca=False, known_entities=KNOWN, roles_with_known_entities=["arg0", "arg1"], roles_with_unknown_entities=["arg0", "arg1"], backend=embeddings.WordVectors(_word_table(spark, sf)))
+    given = [r["centre"] for r in centres(spark, sf).orderBy("cluster").collect()]
+    return model.take_centres(s, given).predict(s).select("doc_id", "sent_id", "arg0", "verb", "neg", "arg1")
+
+
+@query("roles_round_trip", f"WITH {_STMTS} SELECT doc_id, sent_id, arg0, verb, neg, arg1 FROM stmts")
+def roles_round_trip(spark, sf):
+    path = files.scratch_folder(spark)
+    files.save_roles(stmts(spark, sf), path)
+    return files.load_roles(spark, path, keys="doc_id long, sent_id int").select("doc_id", "sent_id", "arg0", "verb", "neg", "arg1")
+
+
+@query("sentences_round_trip", f"WITH {_SENTS} SELECT doc_id, sent_id, sentence FROM sents")
+def sentences_round_trip(spark, sf):
+    path = files.scratch_folder(spark)
+    files.save_sentences(sents(spark, sf), path, "csv")
+    return spark.read.csv(path, header=True, escape='"', schema="doc_id long, sent_id int, sentence string")
+
+
+@query("entities_round_trip", f"{_ENTS} SELECT value, cnt FROM counts")
+def entities_round_trip(spark, sf):
+    path = files.scratch_folder(spark)
+    files.save_entities(counting.mine_entities(sents(spark, sf)), path)
+    return files.load_entities(spark, path)
+
+
+@query("parses_round_trip", _SRL_SQL)
+def parses_round_trip(spark, sf):
+    path = files.scratch_folder(spark)
+    files.save_parses(_parses(spark, sf), path)
+    return _roles_of(files.load_parses(spark, path, keys="doc_id long, sent_id int, clause int"))
+
+
 @query("kmeans_fit_sizes", None)
 def kmeans_fit_sizes(spark, sf):
     grid = clustering.kmeans_search(vectors(spark, sf), [{"n_clusters": 10, "random_state": 0}])
