@@ -42,15 +42,20 @@ def batch_numbers(texts: Column, max_chars: int | None = None, batch_size: int |
         return F.transform(texts, lambda _, i: F.floor(i / batch_size).cast("int"))
     if max_chars is None:
         return F.transform(texts, lambda _: F.lit(0))
-    start = F.struct(F.lit(0).alias("batch"), F.lit(0).alias("run"), F.array().cast("array<int>").alias("out"))
+    # The fold keeps where batches begin, and is written out at the end, so that it grows by a number for each batch only.
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("run"), F.array(F.lit(0)).alias("begins"))
 
     def step(acc: Column, text: Column) -> Column:
         full = acc["run"] + F.length(text) > max_chars
-        batch = F.when(full, acc["batch"] + 1).otherwise(acc["batch"])
         run = F.when(full, F.length(text)).otherwise(acc["run"] + F.length(text))
-        return F.struct(batch.alias("batch"), run.alias("run"), F.concat(acc["out"], F.array(batch)).alias("out"))
+        begins = F.when(full, F.concat(acc["begins"], F.array(acc["n"]))).otherwise(acc["begins"])
+        return F.struct((acc["n"] + 1).alias("n"), run.alias("run"), begins.alias("begins"))
 
-    return F.aggregate(texts, start, step, lambda acc: acc["out"])
+    def written(acc: Column) -> Column:
+        ends = lambda b, i: F.coalesce(F.get(acc["begins"], i + 1), acc["n"])
+        return F.flatten(F.transform(acc["begins"], lambda b, i: F.array_repeat(i, (ends(b, i) - b).cast("int"))))
+
+    return F.aggregate(texts, start, step, written)
 
 
 def is_subset(a: Column, b: Column) -> Column:

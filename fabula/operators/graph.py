@@ -32,6 +32,10 @@ def degrees(edge: DataFrame) -> DataFrame:
     return edge.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("value"))
 
 
+#: Edges of a graph on the driver if no number is given.
+MOST_EDGES = 100_000
+
+
 @dataclass
 class Graph:
     """A small graph on the driver: edges as (src, dst, label, value), nodes with their degree."""
@@ -41,11 +45,13 @@ class Graph:
 
 
 def build_graph(statements: DataFrame, top_n: int | None = 100, prune_network: bool = True) -> Graph:
-    """The top edges (their number is the bound on what the driver gets); pruned to the largest weak component.
+    """The top edges, or all (MOST_EDGES at most, as the driver gets them; more are refused); pruned to the largest weak component.
 
     Of components of equal size the one with the highest-ranked edge stays.  No statements give an empty graph."""
     found = edges(statements, top_n)
-    rows = [tuple(r) for r in (found if top_n is not None else found.orderBy(F.desc("value"), "src", "dst", "label")).collect()]
+    rows = [tuple(r) for r in (found if top_n is not None else found.orderBy(F.desc("value"), "src", "dst", "label").limit(MOST_EDGES + 1)).collect()]
+    if top_n is None and len(rows) > MOST_EDGES:
+        raise ValueError(f"more than {MOST_EDGES} edges; give top_n")
     up: dict[str, str] = {}
 
     def find(a: str) -> str:

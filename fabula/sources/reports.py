@@ -49,10 +49,24 @@ names.forEach(n => {{ add("circle", {{cx: at[n][0], cy: at[n][1], r: 0.01 + 0.00
 """
 
 
-def draw_graph(graph: Graph, output_filename: str = "graph.html", width: str = "1000px", height: str = "1000px") -> str:
-    """Writes a page of its own, without other files, and returns its name."""
+_CONTROL = """<p><label>{name} <input type="range" min="{least}" max="{most}" step="0.01" value="{value}" oninput="{does}"></label></p>"""
+#: Controls of the page: of the layout, and of its looks.
+_LAYOUT = _CONTROL.format(name="Spread", least=0.3, most=1.3, value=1, does="document.getElementById('g').setAttribute('viewBox', [-1.3, -1.3, 2.6, 2.6].map(x => x / this.value).join(' '))")
+_LOOKS = _CONTROL.format(name="Text", least=0.01, most=0.12, value=0.04, does="document.getElementById('g').setAttribute('font-size', this.value)")
+
+
+def draw_graph(graph: Graph, output_filename: str = "graph.html", width: str = "1000px", height: str = "1000px", show_buttons: bool = False, only_physics_buttons: bool = False, notebook: bool = False) -> str:
+    """Writes a page of its own, without other files, and returns its name, or in a notebook what shows it.
+
+    show_buttons adds controls of layout and looks, only_physics_buttons those of the layout alone."""
+    controls = _LAYOUT * (show_buttons or only_physics_buttons) + _LOOKS * (show_buttons and not only_physics_buttons)
     data = json.dumps({"nodes": graph.nodes, "edges": graph.edges}, ensure_ascii=False).replace("</", "<\\/")
-    Path(output_filename).write_text(_PAGE.format(data=data, width=html.escape(width, quote=True), height=html.escape(height, quote=True)), encoding="utf-8")
+    page = _PAGE.format(data=data, width=html.escape(width, quote=True), height=html.escape(height, quote=True))
+    Path(output_filename).write_text(page.replace("</body>", controls + "</body>"), encoding="utf-8")
+    if notebook:
+        from IPython.display import IFrame
+
+        return IFrame(output_filename, width, height)
     return output_filename
 
 

@@ -249,6 +249,35 @@ def test_umap():
         manifold.fit(np.zeros((manifold.MOST_POINTS + 1, 1)))
 
 
+def test_pca(spark):
+    x, table = blobs(spark)
+    _, reduce = clustering.pca(table, 3)
+    got = {r["token"]: r["vec"] for r in reduce(table).collect()}
+    _, _, v = np.linalg.svd(x - x.mean(0), full_matrices=False)
+    want = x @ v[:3].T
+    have = np.array([got[f"w{i}"] for i in range(len(x))])
+    assert np.allclose(np.abs(have), np.abs(want), atol=1e-6)
+
+
+def test_graph_of_all_edges_is_bounded(spark, monkeypatch):
+    s = spark.createDataFrame([(f"a{i}", "v", f"b{i}") for i in range(4)], "arg0 string, verb string, arg1 string")
+    assert len(graph.build_graph(s, None, prune_network=False).edges) == 4
+    monkeypatch.setattr(graph, "MOST_EDGES", 3)
+    with pytest.raises(ValueError):
+        graph.build_graph(s, None)
+
+
+def test_batches_of_long_documents(spark):
+    texts = ["x" * (i * 7 % 23) for i in range(5000)]
+    want, run, batch = [], 0, 0
+    for t in texts:
+        if run + len(t) > 40:
+            run, batch = 0, batch + 1
+        run += len(t)
+        want.append(batch)
+    assert spark.createDataFrame([(texts,)], "t array<string>").select(X.batch_numbers(F.col("t"), 40)).first()[0] == want
+
+
 def test_lexicon_files(spark, tmp_path):
     spark.createDataFrame([("kill", 0, "destroy")], "verb string, pos int, candidate string").write.csv(str(tmp_path / "l"), header=True)
     assert [tuple(r) for r in verbs.lexicon_file(spark, str(tmp_path / "l")).collect()] == [("kill", 0, "destroy")]
@@ -309,7 +338,9 @@ def test_files_and_reports(spark, tmp_path):
     assert files.load_data(spark, str(tmp_path / "raw.csv")).first()["doc"] == 'two\nlines, "quoted"'
     assert files.list_data(spark).count() == 2
     page = reports.draw_graph(graph.Graph([("a", "b", "v", 1)], {"a": 1, "b": 1}), str(tmp_path / "g.html"))
-    assert '"a"' in open(page).read()
+    assert '"a"' in open(page).read() and "range" not in open(page).read()
+    for options, controls in (({"show_buttons": True}, 2), ({"show_buttons": True, "only_physics_buttons": True}, 1)):
+        assert open(reports.draw_graph(graph.Graph([], {}), str(tmp_path / "g.html"), **options)).read().count('type="range"') == controls
     log = reports.FileLogger(str(tmp_path / "l.txt"))
     with pytest.raises(RuntimeError):
         reports.FileLogger(str(tmp_path / "m.txt"))
