@@ -3,35 +3,32 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fabula.operators.sentences import replace_sentences
+from fabula.operators.annotate import annotated
 from fabula.schema import FILE_NAMES, PARSE, ROLES
 
 
 def annotate(sents: DataFrame, model: Callable, keys: list[str], max_chars: int | None = None, max_words: int | None = None, batch_size: int = 64) -> DataFrame:
-    """keys and parse of each sentence; model(list[str]) -> list of {"words", "verbs": [{"tags"}]}.
-
-    Sentences beyond the limits are blank before they are parsed.  A batch for which the model raises
-    RuntimeError gets empty parses; the others are kept."""
-    kinds = {c: sents.schema[c].dataType.simpleString() for c in keys}
-
-    def run(frames):
-        for f in frames:
-            found: list[dict] = []
-            texts = f["sentence"].tolist()
-            for i in range(0, len(texts), batch_size):
-                try:
-                    found += model(texts[i : i + batch_size])
-                except RuntimeError:
-                    found += [{"words": [], "verbs": []}] * len(texts[i : i + batch_size])
-            f["parse"] = found
-            yield f[[*keys, "parse"]]
-
-    limited = replace_sentences(sents.select(*keys, "sentence"), max_chars, max_words)
-    return limited.mapInPandas(run, ", ".join(f"`{c}` {k}" for c, k in kinds.items()) + f", parse {PARSE.simpleString()}")
+    """keys and parse of each sentence; model(list[str]) -> list of {"words", "verbs": [{"tags"}]}.  See `annotated` for limits and failures."""
+    return annotated(sents, model, keys, "parse", PARSE, {"words": [], "verbs": []}, max_chars=max_chars, max_words=max_words, batch_size=batch_size)
+
+
+@dataclass(frozen=True)
+class RoleLabeller:
+    """A model with its limits; a call may give others."""
+
+    model: Callable
+    max_chars: int | None = None
+    max_words: int | None = None
+    batch_size: int = 64
+
+    def __call__(self, sents: DataFrame, keys: list[str], **limits) -> DataFrame:
+        used = {"max_chars": self.max_chars, "max_words": self.max_words, "batch_size": self.batch_size} | limits
+        return annotate(sents, self.model, keys, **used)
 
 
 def _words_of(parse: Column, tags: Column, name: str) -> Column:

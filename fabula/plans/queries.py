@@ -6,6 +6,7 @@ A query is registered with its SQL (None where SQL cannot express it); both name
 from __future__ import annotations
 
 import dataclasses
+import re
 from collections.abc import Callable
 
 import pandas as pd
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from fabula.functions import text as X
 from fabula.functions.tokens import Cleaner, shortened
-from fabula.operators import clustering, counting, embeddings, entities, graph, sentences, srl, statements, svo, verbs
+from fabula.operators import annotate, clustering, counting, embeddings, entities, graph, sentences, srl, statements, svo, verbs
 from fabula.operators.model import NarrativeModel
 from fabula.sources import files
 
@@ -444,6 +445,33 @@ def svo_fr(spark, sf):
     return _svos(spark, sf, True, language=_FRENCH)
 
 
+def _clause_parser(texts: list[str]) -> list[list[dict]]:
+    """The English patterns as a model in Python."""
+    out = []
+    for text in texts:
+        w = text.split(" ")
+        cells = _cells(_PATTERNS)[len(w[0]) % len(_PATTERNS)] if len(w) == _CLAUSE else [("X", "dep", i, None, None) for i in range(len(w))]
+        out.append([{"text": x, "pos": c[0], "dep": c[1], "head": c[2], "chunk": None if c[3] is None else " ".join(w[c[3] : i + 1])} for i, (x, c) in enumerate(zip(w, cells, strict=True))])
+    return out
+
+
+@query("svo_annotated", _svo_sql(_PATTERNS, _ENGLISH))
+def svo_annotated(spark, sf):
+    keys = ["doc_id", "sent_id", "clause"]
+    tokens = annotate.annotate_tokens(clauses(spark, sf).select(*keys, F.array_join("w", " ").alias("sentence")), _clause_parser, keys)
+    return svo.extract_svos(tokens, keys, language=_ENGLISH).select(*keys, "arg0", "neg", "verb", "arg1")
+
+
+def _runs(texts: list[str]) -> list[list[tuple]]:
+    return [[(e, "ORG" if len(e) % 2 else "DATE") for e in re.findall("[A-ZÀ-Þ][a-zà-ÿ]+(?: [A-ZÀ-Þ][a-zà-ÿ]+)*", t)] for t in texts]
+
+
+@query("entity_counts_labelled", f"{_ENTS.replace('counts AS (SELECT value, count(*) AS cnt FROM ents GROUP BY value)', 'counts AS (SELECT value, count(*) AS cnt FROM ents WHERE length(value) % 2 = 1 GROUP BY value)')} SELECT value, cnt FROM counts")
+def entity_counts_labelled(spark, sf):
+    found = annotate.annotate_entities(sents(spark, sf), _runs, ["doc_id", "sent_id"])
+    return counting.mine_entities(found, F.col("ents"))
+
+
 # Role labels of all documents by rule: the same clauses, with one or two frames of tags each, cut to the clause's length.
 _FRAMES = [
     ["B-ARG0 I-ARG0 B-ARGM-MOD B-ARGM-NEG B-V B-ARG1 I-ARG1 B-ARG2", "O O O O O B-ARG0 B-V B-ARG1"],

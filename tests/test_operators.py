@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fabula.functions import text as X
 from fabula.functions.tokens import Cleaner, shortened
-from fabula.operators import clustering, counting, density, embeddings, entities, graph, manifold, srl, statements, svo, verbs
+from fabula.operators import annotate, clustering, counting, density, embeddings, entities, graph, manifold, srl, statements, svo, verbs
 from fabula.operators.model import NarrativeModel
 from fabula.sources import files, reports
 from fabula.streaming import statements as streaming
@@ -115,6 +115,28 @@ def test_srl_keeps_other_batches(spark):
     assert sorted((r["k"], r["verb"]) for r in roles.collect()) == [(1, "b"), (3, "e")]
 
 
+def test_labeller_with_limits_of_its_own(spark):
+    model = srl.RoleLabeller(lambda texts: [{"words": t.split(), "verbs": []} for t in texts], max_words=2)
+    s = spark.createDataFrame([(1, "a b c"), (2, "a b")], "k int, sentence string")
+    size = lambda df: sorted((r["k"], len(r["parse"]["words"])) for r in df.collect())
+    assert size(model(s, ["k"])) == [(1, 0), (2, 2)] and size(model(s, ["k"], max_words=3)) == [(1, 3), (2, 2)]
+
+
+def test_annotated_tokens(spark):
+    def model(texts):
+        if "fail" in texts:
+            raise RuntimeError
+        known = {"Taxes kill jobs !": [{"text": "Taxes", "pos": "NOUN", "dep": "nsubj", "head": 1, "lemma": "tax"}, {"text": "kill", "pos": "VERB", "dep": "ROOT", "head": 1}, {"text": "jobs", "pos": "NOUN", "dep": "dobj", "head": 1, "chunk": "the jobs"}, {"text": "!"}]}
+        return [known.get(t, []) for t in texts]
+
+    s = spark.createDataFrame([(1, "Taxes kill jobs !"), (2, "fail"), (3, ""), (4, None)], "k int, sentence string").coalesce(1)
+    tokens = annotate.annotate_tokens(s, model, ["k"], batch_size=1).cache()
+    assert [tuple(r) for r in svo.extract_svos(tokens, ["k"]).collect()] == [(1, 0, "Taxes", "kill", None, "the jobs")]
+    assert {r["k"]: len(r["tokens"]) for r in tokens.collect()} == {1: 4, 2: 0, 3: 0, 4: 0}
+    assert tokens.where("k = 1").select(Cleaner().clean(F.col("tokens"))).first()[0] == "tax kill jobs"
+    assert tokens.where("k = 1").first()["tokens"][0]["anc"] == [0, 1]
+
+
 def test_verbs(spark):
     s = spark.createDataFrame([("kill", None), ("increase", True), ("vote", True), (None, None)], "verb string, neg boolean")
     counts = spark.createDataFrame([("kill", 3), ("destroy", 3), ("decrease", 2), ("increase", 1)], "value string, cnt long")
