@@ -603,10 +603,10 @@ def silhouette_exact(spark, sf):
 
 @query(
     "inertia_knee",
-    f"""WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings), ks AS (SELECT unnest(range(1, 11)) AS k), own AS (SELECT k, label % k AS c, unnest(range(len(vec))) AS dim, unnest(vec) AS x FROM v, ks), y AS (
+    f"""WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings), ks AS (SELECT unnest(range(2, 21, 2)) AS k), own AS (SELECT k, least(label, k - 1) AS c, unnest(range(len(vec))) AS dim, unnest(vec) AS x FROM v, ks), y AS (
   SELECT k, sum(x * x) - sum(s * s / n) AS y FROM (SELECT k, c, dim, sum(x * x) AS x2, sum(x) AS s, count(*) AS n FROM own GROUP BY k, c, dim) t, LATERAL (SELECT sqrt(t.x2) AS x) GROUP BY k
 ), d AS (
-  SELECT k, 1 - (y - min(y) OVER ()) / (max(y) OVER () - min(y) OVER ()) - (k - 1) / 9.0 AS d FROM y
+  SELECT k, 1 - (y - min(y) OVER ()) / (max(y) OVER () - min(y) OVER ()) - (k - 2) / 18.0 AS d FROM y
 ), peaks AS (
   SELECT k, d, coalesce(d >= lag(d) OVER (ORDER BY k) AND d > lead(d) OVER (ORDER BY k), false) AS peak FROM d
 ), runs AS (
@@ -617,9 +617,9 @@ def silhouette_exact(spark, sf):
 SELECT CAST(min(t.k) AS DOUBLE) AS knee FROM tops t JOIN runs r ON r.run = t.run AND NOT r.peak AND r.d < t.least""",
 )
 def inertia_knee(spark, sf):
-    ks, found = list(range(1, 11)), []
+    ks, found = list(range(2, 21, 2)), []  # label k and all beyond are one cluster
     for k in ks:
-        own = vectors(spark, sf).withColumn("cluster", F.expr(f"label % {k}"))
+        own = vectors(spark, sf).withColumn("cluster", F.least("label", F.lit(k - 1)))
         mean = own.select("cluster", F.posexplode("vec").alias("dim", "x")).groupBy("cluster", "dim").agg(F.avg("x").alias("x"))
         centre = mean.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias("centre"))
         found.append(clustering.inertia(own, centre).first()["inertia"])
