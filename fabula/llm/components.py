@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fabula.llm._exchange import checkpoint
+from fabula.llm._exchange import checkpoint, hot_size, join_sized
 
 
 class UnionFind:
@@ -47,20 +47,21 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of links(a, b); the component is its smallest node.
 
     Alternates large-star and small-star rounds (minimum by aggregation with partial sums, then an
-    equi-join, so a node with very many links is split by the skew-join rule); the number of rounds
+    equi-join, in which nodes with very many links are broadcast: the skew-join rule doesn't split a join
+    with an aggregate of the same key); the number of rounds
     grows with the logarithm of the longest path.  Each round is a reliable checkpoint.  Null ends and
     loops are ignored; an empty table gives an empty table.
     """
     links = links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a is not null and b is not null and a <> b")
     edges = checkpoint(links.mapInArrow(_forest, "a long, b long").distinct())
-    seen = None
+    seen, hot = None, hot_size(2 * edges.count())
     for _ in range(most_rounds):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("links")).select("a", F.least("a", "m").alias("m"), "links")
+        large = join_sized(both, least, ["a"], "links", hot).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("links"))
+        small = join_sized(down, least, ["a"], "links", hot).select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         edges = checkpoint(small)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen:
