@@ -48,13 +48,18 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def join_sized(left: DataFrame, right: DataFrame, keys: list[str], size: str, largest: int) -> DataFrame:
-    """Inner join with a table of one row a key that says how many rows of left have it.
-
-    Keys of more than `largest` rows are broadcast, so that none of them is one task's; they are fewer
-    than left's rows over `largest`, which the caller bounds (see `hot_size`)."""
-    marked = left.join(F.broadcast(right.where(F.col(size) > largest)), keys, "left")
-    rest = marked.where(F.col(size).isNull()).select(*left.columns).join(right.where(F.col(size) <= largest), keys)
-    return marked.where(F.col(size).isNotNull()).unionByName(rest)
+    """Inner join with a table of one row a key (the first column of it a long) that says how many rows of left have it.
+
+    Keys of more than `largest` rows are broadcast; their rows go through the other keys' join by a hash of
+    the row, and match nothing there.  So none of these keys is one task's.  They are fewer than left's
+    rows over `largest`, which the caller bounds (see `hot_size`)."""
+    values = [c for c in right.columns if c not in keys]
+    hot = right.where(F.col(size) > largest).select(*keys, *[F.col(v).alias(f"_hot_{v}") for v in values])
+    marked = left.join(F.broadcast(hot), keys, "left").withColumn("_is_hot", F.col(f"_hot_{size}").isNotNull())
+    marked = marked.withColumn("_key", F.when(F.col("_is_hot"), F.xxhash64(*left.columns)).otherwise(F.col(keys[0])))
+    cold = right.where(F.col(size) <= largest).select(F.col(keys[0]).alias("_key"), F.lit(False).alias("_is_hot"), *keys[1:], *values)
+    both = marked.join(cold, ["_key", "_is_hot", *keys[1:]], "left").where(F.coalesce(f"_hot_{size}", size).isNotNull())
+    return both.select(*left.columns, *[F.coalesce(f"_hot_{v}", v).alias(v) for v in values])
 
 
 def hot_size(rows: int) -> int:

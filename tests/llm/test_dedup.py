@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from fabula.llm.decontaminate import contaminations, decontaminate, simhash, weighted_jaccard
 from fabula.llm.minhash import near_duplicates
@@ -210,3 +211,14 @@ def test_empty_tables(spark):
     for found in (substring_dedup(none), suffix_dedup(none), near_duplicates(none), contaminations(none, bench)):
         assert found.count() == 0
     assert contaminations(spark.createDataFrame(corpus(), SCHEMA), bench).count() == 0
+
+def test_join_with_hot_keys(spark):
+    from fabula.llm._exchange import join_sized
+
+    rnd = random.Random(6)
+    rows = [(rnd.choice([7, 7, 7, *range(40)]), i) for i in range(3000)]
+    left = spark.createDataFrame(rows, "a long, b long")
+    right = left.where("a <> 5").groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("m"))
+    for largest in (10, 100, 10_000):
+        got = join_sized(left, right, ["a"], "n", largest)
+        assert sorted(map(tuple, got.select("a", "b", "n", "m").collect())) == sorted(map(tuple, left.join(right, "a").select("a", "b", "n", "m").collect()))
