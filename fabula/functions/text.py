@@ -15,8 +15,8 @@ def words(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Runs up to a group of `.`, `!` or `?`, with white space squeezed; a tail without one counts too."""
-    found = F.regexp_extract_all(text, F.lit(r"[^.!?]+[.!?]*"), 0)
-    return F.filter(F.transform(found, lambda s: F.trim(F.regexp_replace(s, r"\s+", " "))), lambda s: s != "")
+    found = F.regexp_extract_all(F.regexp_replace(text, r"\s+", " "), F.lit(r"[^.!?]+[.!?]*"), 0)
+    return F.filter(F.transform(found, lambda s: F.trim(s)), lambda s: s != "")
 
 
 def limited(sentence: Column, max_chars: int | None = None, max_words: int | None = None) -> Column:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fabula.functions.text import words
 from fabula.functions.tokens import Cleaner, plain_tokens, shortened
 from fabula.operators.sentences import split_sentences
 from fabula.schema import TEXT_ROLES
@@ -18,7 +17,8 @@ VERBS = {
     "es": ["es", "son", "era", "eran", "está", "ha", "han", "tiene"],
 }
 NEGATIONS = ["not", "never", "ne", "pas", "nicht", "kein", "nie", "no", "nunca"]
-_EDGES = "^[^a-zà-ÿ]+|[^a-zà-ÿ]+$"
+#: A word from its first letter to its last; what has no letter is no word.
+_WORD = r"[a-zà-ÿ](?:\S*[a-zà-ÿ])?"
 
 
 def _among(col: str, listed: list[str]) -> Column:
@@ -31,11 +31,13 @@ def lexicon_statements(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Narrow, and fit for streams.  id, sent_id, arg0, verb, neg, mod, arg1, arg2."""
     known = docs.where(F.col(lang_col).isin(list(VERBS)))
     sents = split_sentences(known, id_col, text_col, keep=[lang_col])
-    w = F.filter(F.transform(words(F.lower("sentence")), lambda x: F.regexp_replace(x, _EDGES, "")), lambda x: x != "")
+    w = F.regexp_extract_all(F.lower("sentence"), F.lit(_WORD), 0)
     at: Column = F.lit(0)
     for lang, verbs in VERBS.items():
         at = F.when(F.col(lang_col) == lang, F.array_position(_among("w", verbs), True)).otherwise(at)
-    found = sents.select(id_col, "sent_id", lang_col, w.alias("w")).withColumn("at", at.cast("int")).where("at > 0")
+    # An array of its own row by row: Spark would move the filter below the projection, and find all words twice.
+    each = sents.select(id_col, "sent_id", lang_col, F.explode_outer(F.array(w)).alias("w"))
+    found = each.withColumn("at", at.cast("int")).where("at > 0")
     out = found.select(
         id_col,
         "sent_id",
