@@ -378,3 +378,12 @@ def test_stream_equals_table(spark, tmp_path):
     got = sorted(r["text"] for r in spark.sql("select text from stream_test").collect())
     assert got == ["jobs ! are not good", "taxes are bad"]
     assert statements.lexicon_statements(docs).count() == 2
+
+
+def test_character_matching_by_brute_force(spark):
+    names = ["the bank", "bank", "of the of", "a b", "a", None, " ", "interest rate policy", "rate"]
+    said = ["the bank of a rate", "interest on policy rate", "b a", "", "of", "of the", "banks", "  a  bank ", "a", None]
+    found = entities.character_matching(spark.createDataFrame([(p,) for p in said + said], "phrase string"), entities.entity_table(spark, names))
+    want = {p: "|".join(e for e in names if e and e.split() and set(e.split()) <= set(p.split())) for p in said if p}
+    assert sorted(map(tuple, found.collect())) == sorted((p, label) for p, label in want.items() if label)
+    assert entities.character_matching(spark.createDataFrame([("a",)], "phrase string"), entities.entity_table(spark, None)).count() == 0
